@@ -108,3 +108,35 @@ def append_columns(df: DataFrame, fields, start) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in held), *made], names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def sorted_groups(batches, key: str, columns: list[str], rows: int = 4096):
+    """From batches sorted by ``key``: (keys, [columns]) of whole groups, of about ``rows`` rows or one larger group.
+
+    Numbers come as numpy arrays, binaries as lists.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def made(parts):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        out = [table.column(c) for c in columns]
+        return table.column(key).to_numpy(), [c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy() for c in out]
+
+    held, last = [], None
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            keys = part.column(part.schema.get_field_index(key)).to_numpy()
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            if held and keys[0] != last and not cut:
+                yield made(held)
+                held = []
+            if cut:
+                held.append(part.slice(0, cut))
+                yield made(held)
+                held = []
+            held.append(part.slice(cut))
+            last = keys[-1]
+    if held:
+        yield made(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, mixing, tokens, toxicity
+from corpusloom.llm import decontaminate, minhash, mixing, tokens, toxicity
 from corpusloom.llm.base import table
 
 #: Characters of which words, and of which benchmark words, consist not; the lower-casing of both queries and their SQL.
@@ -34,6 +34,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -82,4 +87,16 @@ owned AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN covered USING (r) LEFT JOIN owned USING (r)""",
+    "op7_minhash_neardup": rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({LOWER}, '{SPACED_WORD}') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+shingles AS (SELECT doc_id, unnest(s) AS s FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * k >= 80 * (len(x.s) + len(y.s) - k)),
+linked AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS other FROM linked UNION SELECT r.doc_id, l.b FROM reach r JOIN linked l ON r.other = l.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, low) AS component_id, doc_id = least(doc_id, low) AS kept
+FROM sets LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id) USING (doc_id)""",
 }
