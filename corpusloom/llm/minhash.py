@@ -126,7 +126,7 @@ def in_blocks(rows: DataFrame, node: str, member: str, size: str, block: int) ->
     return spread.withColumn(node, F.when(F.col("_other") < 0, F.col(node)).otherwise(met)).drop("_own", "_other")
 
 
-def _families(link: np.ndarray) -> np.ndarray:
+def families(link: np.ndarray) -> np.ndarray:
     """For each row of a symmetric boolean matrix the first row of its connected component."""
     n = len(link)
     label = np.full(n, -1)
@@ -157,7 +157,7 @@ def _candidates(nodes: DataFrame, least: float) -> DataFrame:
                 if y - x > 2:
                     part = s[x:y]
                     link = np.stack([(part == row).mean(axis=1) >= least for row in part])
-                    label = _families(link)
+                    label = families(link)
                     a.append(rep[x:y])
                     b.append(rep[x:y][label])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -178,7 +178,7 @@ def _verified(nodes: DataFrame, percent: int) -> DataFrame:
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for x, y in zip(np.append(0, cut), np.append(cut, len(node)), strict=True):
                 sets = [np.frombuffer(v, np.uint64) for v in body[x:y]]
-                label = _families(similar(sets, percent))
+                label = families(similar(sets, percent))
                 a.append(rep[x:y])
                 b.append(rep[x:y][label])
             a, b = np.concatenate(a), np.concatenate(b)
@@ -242,8 +242,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     for more in done[1:]:
         nodes = nodes.unionByName(more)
     sketched = nodes.select("node", "rep").join(classes.select("rep", "sketch"), "rep")
-    families = base.save(graph.components(_candidates(sketched, least)), "families")
-    sized = families.join(families.groupBy("component").agg(F.count("*").alias("n")), "component")
+    candidates = base.save(graph.components(_candidates(sketched, least)), "families")
+    sized = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("n")), "component")
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("_text")).where("_text is not null")
     texts = texts.join(base.small(sized.select(F.col("id").alias("rep"), F.col("component").alias("node"), "n")), "rep")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, minhash, mixing, tokens, toxicity
+from corpusloom.llm import capjoin, decontaminate, minhash, mixing, tokens, toxicity
 from corpusloom.llm.base import table
 
 #: Characters of which words, and of which benchmark words, consist not; the lower-casing of both queries and their SQL.
@@ -26,6 +26,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capjoin.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -48,6 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
+    "op4_embedding_neardup": op4_embedding_neardup,
     "op6_toxicity": op6_toxicity,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op10_token_counts": op10_token_counts,
@@ -99,4 +104,16 @@ linked AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links)
 reach AS (SELECT a AS doc_id, b AS other FROM linked UNION SELECT r.doc_id, l.b FROM reach r JOIN linked l ON r.other = l.a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, low) AS component_id, doc_id = least(doc_id, low) AS kept
 FROM sets LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id) USING (doc_id)""",
+    "op4_embedding_neardup": """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (
+  SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS ra, a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(v.vec_id, low) AS component_id, v.vec_id = least(v.vec_id, low) AS kept
+FROM v LEFT JOIN (SELECT ra AS r, count(*) AS n FROM links GROUP BY ra) USING (r)
+LEFT JOIN (SELECT vec_id, min(other) AS low FROM reach GROUP BY vec_id) m ON m.vec_id = v.vec_id""",
 }
