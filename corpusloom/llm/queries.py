@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import capjoin, decontaminate, minhash, mixing, tokens, toxicity
+from corpusloom.llm import capjoin, decontaminate, linededup, minhash, mixing, tokens, toxicity
 from corpusloom.llm.base import table
 
 #: Characters of which words, and of which benchmark words, consist not; the lower-casing of both queries and their SQL.
@@ -42,6 +42,11 @@ def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4, percent=80)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "removed_units", "removed_words", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_neardup": op4_embedding_neardup,
     "op6_toxicity": op6_toxicity,
     "op7_minhash_neardup": op7_minhash_neardup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
