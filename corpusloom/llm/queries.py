@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import capjoin, decontaminate, linededup, minhash, mixing, tokens, toxicity
-from corpusloom.llm.base import table
+from corpusloom.llm import capjoin, decontaminate, linededup, minhash, mixing, tokens, toxicity, warc
+from corpusloom.llm.base import save, scratch_path, table
 
 #: Characters of which words, and of which benchmark words, consist not; the lower-casing of both queries and their SQL.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -30,6 +30,16 @@ def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capjoin.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archives = warc.write_archives(pages, scratch_path(spark, "warc"))
+    heads = save(warc.read_archives(archives, payloads=False), "warc-heads")
+    records = warc.resolve_revisits(heads)
+    page = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS BIGINT)")
+    sound = F.when(F.col("valid"), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("WARC record not valid: "), "record_id")).cast("long"))
+    return records.select(page("record_id").alias("page_id"), sound.alias("payload_bytes"), "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -58,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
     "op4_embedding_neardup": op4_embedding_neardup,
+    "op5_warc": op5_warc,
     "op6_toxicity": op6_toxicity,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op9_line_dedup": op9_line_dedup,
@@ -122,4 +133,13 @@ reach AS (SELECT a AS vec_id, b AS other FROM links UNION SELECT r.vec_id, l.b F
 SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(v.vec_id, low) AS component_id, v.vec_id = least(v.vec_id, low) AS kept
 FROM v LEFT JOIN (SELECT ra AS r, count(*) AS n FROM links GROUP BY ra) USING (r)
 LEFT JOIN (SELECT vec_id, min(other) AS low FROM reach GROUP BY vec_id) m ON m.vec_id = v.vec_id""",
+    "op5_warc": """
+WITH hashed AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha1(coalesce(html, '')) AS h FROM pages),
+chars AS (SELECT *, list_transform(range(0, 8), lambda k: CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT)) AS v FROM hashed),
+coded AS (
+  SELECT page_id, size, array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((v[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31 AS BIGINT) + 1, 1)), '') AS d FROM chars),
+kept AS (SELECT *, max(page_id) OVER (PARTITION BY d, size) AS top FROM coded)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM kept""",
 }
