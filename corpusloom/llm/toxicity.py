@@ -84,36 +84,41 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> Model:
     if not len(texts) or not len(np.unique(labels)) > 1:
         rate = float(np.average(labels, weights=weights)) if len(texts) else 0.0
         return Model(np.zeros((1 << BITS) + 1), np.log(max(rate, 1e-3) / (1 - min(rate, 0.999))))
-    cols, sents, docs, n_sent = [], [], [], 0
-    for at, part in kernel.chunks(texts):
+    positive = labels == 1
+    rows, ones = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for at, part in kernel.chunks(texts):  # first pass: in how many rows of each label a feature occurs
         w = kernel.Words(part, kernel.ALNUM)
-        if not len(w.start):
-            continue
-        ids = sentence_ids(w)
-        _, ids = np.unique(ids, return_inverse=True)
         f = features(w)
         keep = f >= 0
-        cols.append(f[keep].astype(np.int32))
-        sents.append(np.broadcast_to(ids + n_sent, f.shape)[keep].astype(np.int32))
-        firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        docs.append(w.doc[firsts] + at)
-        n_sent += len(firsts)
-    col, sent, doc = np.concatenate(cols), np.concatenate(sents), np.concatenate(docs)
-    del cols, sents
-    pair = np.unique(col.astype(np.int64) * len(texts) + doc[sent])
-    feature, marked = pair // len(texts), labels[pair % len(texts)] == 1
-    rows = np.bincount(feature, minlength=1 << BITS)
-    ones = np.bincount(feature[marked], minlength=1 << BITS)
-    n1 = int((labels == 1).sum())
+        pair = np.unique(f[keep] * len(part) + np.broadcast_to(w.doc, f.shape)[keep])
+        marked = positive[at + pair % len(part)]
+        rows += np.bincount(pair // len(part), minlength=1 << BITS)
+        ones += np.bincount(pair[marked] // len(part), minlength=1 << BITS)
+    n1 = int(positive.sum())
     n0 = len(texts) - n1
     mean = rows / len(texts)
     with np.errstate(divide="ignore", invalid="ignore"):
         z = (ones / n1 - (rows - ones) / n0) / np.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))
     known = np.flatnonzero((rows >= LEAST_ROWS) & (z >= LEAST_Z))
-    place = np.full(1 << BITS, -1, np.int32)
+    place = np.full((1 << BITS) + 1, -1, np.int32)
     place[known] = np.arange(len(known), dtype=np.int32)
-    keep = place[col] >= 0
-    col, sent = place[col[keep]], sent[keep]
+    cols, sents, docs, n_sent = [], [], [], 0
+    for at, part in kernel.chunks(texts):  # second pass: the sentences, by known features alone
+        w = kernel.Words(part, kernel.ALNUM)
+        if not len(w.start):
+            continue
+        ids = sentence_ids(w)
+        firsts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        ids = np.searchsorted(firsts, np.arange(len(ids)), side="right") - 1 + n_sent
+        f = place[features(w)]
+        keep = f >= 0
+        cols.append(f[keep])
+        sents.append(np.broadcast_to(ids, f.shape)[keep])
+        docs.append(w.doc[firsts] + at)
+        n_sent += len(firsts)
+    if not n_sent:
+        return Model(np.zeros((1 << BITS) + 1), -5.0)
+    col, sent, doc = np.concatenate(cols), np.concatenate(sents), np.concatenate(docs)
     y, total = labels.astype(float), weights.sum()
     theta, bias = np.zeros(len(known)), -5.0
     g2, b2 = np.full(len(known), 1e-8), 1e-8
