@@ -1,4 +1,6 @@
 """Named queries over the tables, and the same in DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from corpusloom.plans.oracle import ORACLE_SQL
+from corpusloom.plans.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
