@@ -85,7 +85,12 @@ def layers(ids: Column, first: int = FIRST_CODE) -> list[Column]:
     """The three layers of interleaved ids; an incomplete last frame is cut."""
     frames = F.floor(F.size(ids) / 7).cast("int")
     index = F.when(frames > 0, F.sequence(F.lit(0), F.greatest(frames - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return [F.flatten(F.transform(index, lambda i, k=k: F.array(*[F.get(ids, i * 7 + s) - first - s * CODEBOOK for layer, _, s in SLOTS if layer == k]))) for k in range(3)]
+
+    def layer(k: int) -> Column:
+        slots = [s for owner, _, s in SLOTS if owner == k]
+        return F.flatten(F.transform(index, lambda i: F.array(*[F.get(ids, i * 7 + s) - first - s * CODEBOOK for s in slots])))
+
+    return [layer(k) for k in range(3)]
 
 
 # --- vectors -------------------------------------------------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ import zipfile
 import zlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -208,8 +209,6 @@ def wav_header(head: bytes) -> tuple[int, int] | None:
 
 def probe_wav(df: DataFrame, content: str = "content", head: int = 4096) -> DataFrame:
     """Adds ``frames`` and ``rate`` from the first bytes of each file; null where they tell nothing. Only these bytes go to Python."""
-    import pandas as pd
-
     @F.pandas_udf("struct<frames: bigint, rate: int>")
     def probe(heads: pd.Series) -> pd.DataFrame:
         found = [(None, None) if h is None else wav_header(bytes(h)) or (None, None) for h in heads]
