@@ -40,8 +40,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; from others, words that lie in benchmark windows are cut out."""
-    found = decontaminate.find_contamination(docs, base.table(spark, sf_dir, "benchmark"))
-    return _like(docs, decontaminate.remove_spans(found.where("not contaminated")))
+    found = decontaminate.find_contamination(docs, base.table(spark, sf_dir, "benchmark"), cut=True)
+    return _like(docs, found.where("not contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

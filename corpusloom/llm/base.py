@@ -79,9 +79,23 @@ def with_columns_of(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: How a Python worker, which lives through many tasks, gives freed memory back.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_MMAP_THRESHOLD_": "262144", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Bytes of an Arrow batch that a Python worker gets, in place of Spark's 64 MB: a worker holds a few copies of it.
+BATCH_BYTES = 4 << 20
+
+
 def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it; clusters without such a path take it by ``--py-files``."""
+    """Let Python workers import this package from where the driver has it; clusters without such a path take it by ``--py-files``.
+
+    Batches for them are bounded by ``BATCH_BYTES`` if the session has Spark's default.
+    """
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, None) == str(64 << 20) + "b":
+        spark.conf.set(size, f"{BATCH_BYTES}b")
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    for key, value in WORKER_MEMORY.items():
+        env.setdefault(key, value)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 

@@ -105,7 +105,7 @@ def merge_ranges(ranges: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 13, percent: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 13, percent: int = 5, cut: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Mark the words of each document that lie in an occurrence of a benchmark window.
 
     Words are runs of ASCII letters (lower-cased), digits and characters beyond ASCII. A window is ``n`` consecutive
@@ -113,7 +113,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
 
     Adds ``n_words``, ``hit_ranges`` (word ranges [first, last], merged), ``n_hit``, ``item_ids`` (sorted strings),
     ``n_items`` and ``contaminated`` (n_hit > 0 and n_hit at least ``percent`` per cent of n_words); a column of ``docs``
-    with such a name is replaced. Null and empty texts have no words and are clean. A null item id counts as the item
+    with such a name is replaced. With ``cut``, ``text`` loses the hit words as ``remove_spans`` has it, in the same pass. Null and empty texts have no words and are clean. A null item id counts as the item
     "null", an item with a null text has no windows, repeated rows are marked alike, empty tables give empty or clean results.
 
     The benchmark's size is measured first. Up to ``block_bytes`` of it are broadcast; more is scanned for block by block,
@@ -127,14 +127,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     for b in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b)
         shared = spark.sparkContext.broadcast(WindowSet([(r["item"], r["t"].encode()) for r in part.collect()], n))
-        docs = base.append_columns(docs, fields, _scanner(shared, text, merge=b > 0))
+        last = cut and b + 1 == blocks
+        docs = base.append_columns(docs, [*fields, *([T.StructField(text, T.StringType())] if last else [])], _scanner(shared, text, merge=b > 0, cut=last))
         if b % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1 and b + 1 < blocks:
             docs = base.save(docs, "decontaminate")
     hit = F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"] + 1)
     return docs.withColumns({"n_hit": hit, "n_items": F.size("item_ids").cast("long")}).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent))
 
 
-def _scanner(shared, text: str, merge: bool):
+def _without(w: kernel.Words, k: int, ranges) -> str:
+    """Text ``k`` of the chunk without the words of the ranges."""
+    body, keep, at = w.texts[k], [], 0
+    for a, z in ranges:
+        keep.append(body[at : w.start[w.first[k] + a] - w.begin[k]])
+        at = w.end[w.first[k] + z] - w.begin[k]
+    return b"".join([*keep, body[at:]]).decode()
+
+
+def _scanner(shared, text: str, merge: bool, cut: bool = False):
     def start():
         import pyarrow as pa
 
@@ -142,19 +152,21 @@ def _scanner(shared, text: str, merge: bool):
         kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.string())]
 
         def work(batch):
-            counts, ranges, items = [], [], []
-            for _, texts in kernel.chunks(kernel.as_bytes(batch.column(text))):
+            counts, ranges, items, kept = [], [], [], []
+            before = list(zip(batch.column("hit_ranges").to_pylist(), batch.column("item_ids").to_pylist(), strict=True)) if merge else []
+            for at, texts in kernel.chunks(kernel.as_bytes(batch.column(text))):
                 w = kernel.Words(texts, kernel.ALNUM)
                 counts += w.count.tolist()
-                for r, s in windows.scan(w):
+                for k, (r, s) in enumerate(windows.scan(w)):
+                    if merge:
+                        r = merge_ranges(r + [[x["first"], x["last"]] for x in before[at + k][0]])
+                        s.update(before[at + k][1])
                     ranges.append(r)
                     items.append(s)
-            if merge:
-                for i, (r, s) in enumerate(zip(batch.column("hit_ranges").to_pylist(), batch.column("item_ids").to_pylist(), strict=True)):
-                    ranges[i] = merge_ranges(ranges[i] + [[x["first"], x["last"]] for x in r])
-                    items[i].update(s)
+                    if cut:
+                        kept.append(_without(w, k, r) if batch.column(text)[at + k].is_valid else None)
             structs = [[{"first": a, "last": z} for a, z in r] for r in ranges]
-            return [pa.array(counts, kinds[0]), pa.array(structs, kinds[1]), pa.array([sorted(s, key=str.encode) for s in items], kinds[2])]
+            return [pa.array(counts, kinds[0]), pa.array(structs, kinds[1]), pa.array([sorted(s, key=str.encode) for s in items], kinds[2]), *([pa.array(kept, pa.string())] if cut else [])]
 
         return work
 
@@ -169,15 +181,11 @@ def remove_spans(found: DataFrame, *, text: str = "text") -> DataFrame:
 
         def work(batch):
             out = []
-            raw = batch.column(text)
-            for (_, texts), i0 in ((c, c[0]) for c in kernel.chunks(kernel.as_bytes(raw))):
+            for at, texts in kernel.chunks(kernel.as_bytes(batch.column(text))):
                 w = kernel.Words(texts, kernel.ALNUM)
-                for k, body in enumerate(texts):
-                    keep, at = [], 0
-                    for r in batch.column("hit_ranges")[i0 + k].as_py() or []:
-                        keep.append(body[at : w.start[w.first[k] + r["first"]] - w.begin[k]])
-                        at = w.end[w.first[k] + r["last"]] - w.begin[k]
-                    out.append(None if not raw[i0 + k].is_valid else b"".join([*keep, body[at:]]).decode())
+                for k in range(len(texts)):
+                    ranges = [(r["first"], r["last"]) for r in batch.column("hit_ranges")[at + k].as_py() or []]
+                    out.append(_without(w, k, ranges) if batch.column(text)[at + k].is_valid else None)
             return [pa.array(out, pa.string())]
 
         return work

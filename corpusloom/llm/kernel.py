@@ -16,7 +16,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 #: Bytes of text that are worked on at once; a longer text makes a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _byte = np.arange(256)
 _lower = np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte)
