@@ -75,8 +75,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def with_columns_of(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*[F.col(f"`{n}`") for n in names])
+#: A key is heavy if it has more than one in so many rows; so there are fewer heavy keys than this.
+HEAVY = 10_000
+
+
+def lookup(rows: DataFrame, table_: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined with a table of one row a key, ``n`` telling how many of the ``total`` rows have it.
+
+    Heavy keys, at most ``HEAVY`` of them whatever the data, are broadcast, so their rows stay where they are; the others are
+    shuffled and none is large.
+    """
+    heavy, light = table_.where(F.col(n) * HEAVY > total), table_.where(F.col(n) * HEAVY <= total)
+    spread = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return spread.unionByName(rest)
 
 
 #: How a Python worker, which lives through many tasks, gives freed memory back.

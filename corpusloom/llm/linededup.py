@@ -122,8 +122,9 @@ def repeated_ranges(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     keyed = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1)).alias("k1"), F.xxhash64(f"`{text}`").alias("k2"), F.col(f"`{text}`").alias("_text")).where("_text is not null")
     units = base.save(_units(keyed, least, sentences), "units")
     marks = units.select("k1", "k2", F.explode("marks").alias("place"), "hashes").select("k1", "k2", "place", F.col("hashes")[F.col("place")].alias("h"))
-    first = marks.groupBy("h").agg(F.min(F.struct("k1", "k2", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = marks.join(first, "h").where(F.struct("k1", "k2", "place") > F.col("first"))
+    first = base.save(marks.groupBy("h").agg(F.min(F.struct("k1", "k2", "place")).alias("first"), F.count("*").alias("n")).where("n > 1"), "fingerprints")
+    total = units.agg(F.sum(F.size("marks"))).first()[0] or 0
+    later = base.lookup(marks, first, "h", "n", total).where(F.struct("k1", "k2", "place") > F.col("first"))
     pairs = later.select("k1", "k2", F.col("first.k1").alias("s1"), F.col("first.k2").alias("s2"), F.struct("place", F.col("first.place").alias("there")).alias("at"))
     pairs = base.save(pairs.groupBy("k1", "k2", "s1", "s2").agg(F.array_sort(F.collect_set("at")).alias("at")), "repeats")
     bodies = units.dropDuplicates(["k1", "k2"]) if _repeats(units) else units
