@@ -71,9 +71,11 @@ class Model:
         return out
 
     def offending(self, text: bytes, least: float) -> list[tuple[int, int, float]]:
-        """(first byte, end byte, score) of the sentences that score ``least`` at least."""
+        """(first byte, end byte, score) of the sentences, from first to last word, that score ``least`` at least."""
         w = kernel.Words([text], kernel.ALNUM)
         _, first, z = self.sentences(w)
+        if not len(first):
+            return []
         p = 1 / (1 + np.exp(-z))
         last = np.append(first[1:], len(w.start)) - 1
         return [(int(w.start[a]), int(w.end[b]), float(s)) for a, b, s in zip(first, last, p, strict=True) if s >= least]
