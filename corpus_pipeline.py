@@ -19,17 +19,29 @@ def _like(docs: DataFrame, made: DataFrame) -> DataFrame:
     return made.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _aside(docs: DataFrame, *added: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of their own that bear the names of what an operator adds under other names, and the way back."""
+    renamed = {f"_own{k}": c for k, c in enumerate(docs.columns) if c.lower() in added}
+    return docs.withColumnsRenamed({c: k for k, c in renamed.items()}), renamed
+
+
+def _back(made: DataFrame, renamed: dict[str, str]) -> DataFrame:
+    return made.drop(*renamed.values()).withColumnsRenamed(renamed)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that the model, trained on the labels, scores 0.3 or more; null and empty texts stay."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = toxicity.train(docs, base.table(spark, sf_dir, "labels").where(~held_out))
-    return toxicity.score(docs, model).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    apart, own = _aside(docs, "score", "predicted")
+    return _back(toxicity.score(apart, model).where("predicted = 0"), own).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of passages are cut out; a document goes if nothing but repeats was in it."""
-    cut = linededup.remove_repeats(docs)
-    return _like(docs, cut.where("removed_units = 0 or text <> ''"))
+    apart, own = _aside(docs, "removed_units", "removed_words")
+    cut = linededup.remove_repeats(apart)
+    return _like(docs, _back(cut.where("removed_units = 0 or text <> ''"), own))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +52,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; from others, words that lie in benchmark windows are cut out."""
-    found = decontaminate.find_contamination(docs, base.table(spark, sf_dir, "benchmark"), cut=True)
-    return _like(docs, found.where("not contaminated"))
+    apart, own = _aside(docs, "n_words", "hit_ranges", "item_ids", "n_hit", "n_items", "contaminated")
+    found = decontaminate.find_contamination(apart, base.table(spark, sf_dir, "benchmark"), cut=True)
+    return _like(docs, _back(found.where("not contaminated"), own))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -209,6 +209,17 @@ def test_pipeline_stages(spark, planted):
     assert kept[5].groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
 
 
+def test_columns_of_their_own_survive(spark, planted):
+    import corpus_pipeline
+
+    root, _ = planted
+    docs = spark.read.parquet(f"{root}/documents.parquet").where("doc_id > 298").withColumns({c: F.lit(f"own {c}") for c in ("score", "Removed_Words", "n_hit", "component_id", "rep", "hashes")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, root)
+        assert out.columns == docs.columns
+        assert {(r["score"], r["Removed_Words"], r["n_hit"], r["rep"]) for r in out.collect()} == {("own score", "own Removed_Words", "own n_hit", "own rep")}
+
+
 def test_near_copies_alone(spark, planted):
     import corpus_pipeline
 
