@@ -277,4 +277,64 @@ SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE
 WITH g AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 6) AS total, round(max(value), 6) AS most FROM s GROUP BY user_id, k""",
+    "frame_layout": """
+WITH d AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS segment, (n_chars % 2000) // 320 AS n FROM documents)
+SELECT source, CAST(sum(n) AS BIGINT) AS frames, max(segment) AS segments, max(n) - 1 AS longest FROM d WHERE n > 0 GROUP BY source""",
+    "generated_tokens": "SELECT doc_id, doc_id || ',' || n_chars AS tokens FROM documents",
+    "codec_layers": """
+WITH d AS (SELECT doc_id, doc_id % 4096 AS o, [doc_id % 4096, (doc_id + 1) % 4096] AS t, [(doc_id * 3 + i) % 4096 for i in range(0, 4)] AS h FROM documents)
+SELECT doc_id, array_to_string([128266 + o, 132362 + t[1], 136458 + h[1], 140554 + h[2], 144650 + t[2], 148746 + h[3], 152842 + h[4]], ',') AS ids,
+  CAST(o AS VARCHAR) AS one, array_to_string(t, ',') AS two, array_to_string(h, ',') AS three FROM d""",
+    "window_counts": """
+SELECT doc_id, CAST(greatest(1, CAST(trunc(floor(n_chars * 160 / 16000) - 9.01::DOUBLE) AS INT) + 1) AS INT) AS hops, n_chars * 160 // 320 * 320 AS trimmed, n_chars * 160 // 320 AS positions,
+  n_chars * 160 BETWEEN 4800 AND 480000 AS fits FROM documents""",
+    "run_summaries": f"""
+WITH {FRAMES},
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY frame DESC) AS r FROM f),
+m AS (SELECT user_id, max_by(value, frame) AS fl, avg(CASE WHEN r <= 10 THEN value END) AS lm, max_by(value, frame) FILTER (event_type = 'click') AS cf, min(value) FILTER (event_type = 'click') AS cm, count(*) FILTER (event_type = 'click') AS cp FROM r GROUP BY user_id)
+SELECT user_id, round(fl, 6) AS final_loss, round(lm, 6) AS last_mean_loss, round(cf, 6) AS click_final, round(cm, 6) AS click_min, cp AS click_points, round(cf, 6) AS dev_mean FROM m""",
+    "heat_map": """
+WITH m AS (SELECT source, lang, avg(n_chars) AS a FROM documents GROUP BY ALL)
+SELECT source, round(max(a) FILTER (lang = 'de'), 4) AS de, round(max(a) FILTER (lang = 'en'), 4) AS en, round(max(a) FILTER (lang = 'es'), 4) AS es, round(max(a) FILTER (lang = 'fr'), 4) AS fr, round(avg(a), 4) AS mean FROM m GROUP BY source""",
+    "rank_table": """
+WITH m AS (SELECT c_nationkey, avg(c_acctbal) AS a FROM customer GROUP BY c_nationkey), r AS (SELECT *, CAST(row_number() OVER (ORDER BY a, c_nationkey) AS INT) AS place FROM m)
+SELECT place, '| ' || place || ' | ' || c_nationkey || ' |' AS line FROM r""",
+    "trusted_labels": """
+SELECT lang, count(*) FILTER (lang = 'en' AND (n_chars % 100) / 100 >= 0.90 AND (n_chars % 11) / 10 >= 0.50) AS trusted, count(*) AS n FROM documents GROUP BY lang""",
+    "event_gate": """
+SELECT event_type, count(*) FILTER (value >= 30 AND value / 50 >= 0.8) AS kept, count(*) FILTER (value / 100 >= 0.55 AND value / 50 >= 0.1) AS verified, count(*) AS n FROM events GROUP BY event_type""",
+    "tag_families": """
+WITH c AS (SELECT conv_id, turn, CASE length(text) % 3 WHEN 0 THEN 'burping' WHEN 1 THEN 'sigh' ELSE 'cough' END AS f FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN f = 'burping' THEN 'word' ELSE '<|sfx:' || f || '|>Xx word' END AS t, CASE WHEN f = 'burping' THEN '' ELSE f END AS families, f = 'burping' AS no_tag_left FROM c""",
+    "prompt_texts": r"""
+WITH a AS (SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 120), '[^ -~]', '', 'g')) AS t FROM conversations),
+b AS (SELECT conv_id, turn, t, trim(regexp_replace(upper(substr(t, 1, 1)) || substr(t, 2), ' +', ' ', 'g')) AS p FROM a),
+c AS (SELECT conv_id, turn, t, rtrim(replace(replace(replace(replace(replace(p, '...', ', '), ':', ','), ' - ', ', '), ';', ', '), ' ,', ',')) AS p FROM b)
+SELECT conv_id, turn, md5(CASE WHEN length(t) = 0 THEN 'You need to add some text for me to talk.' WHEN regexp_matches(p, '[.!?,-]$') THEN p ELSE p || '.' END) AS md5 FROM c""",
+    "mixed_words": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[㐀-䶿一-鿿]|[^ \t\n\x0B\f\r㐀-䶿一-鿿]+') AS w FROM documents)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(w, ' ')) AS md5 FROM w""",
+    "speech_marks": r"""
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[[^\]]*\]', '', 'g'), '\([^)]*\)', '', 'g'), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS md5 FROM documents""",
+    "loose_marks": r"""
+SELECT doc_id, md5('5%  $7 a ' || substr(text, 1, 300) || '   9$ ') AS md5 FROM documents WHERE NOT regexp_matches(text, '[<\[({%$]')""",
+    "complete_groups": """
+WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, sum(n_chars) OVER (PARTITION BY source) AS w FROM documents),
+g AS (SELECT source FROM d WHERE r <= 5 GROUP BY source HAVING count(*) = 5 ORDER BY min(w), source LIMIT 7)
+SELECT source, doc_id FROM d WHERE r <= 5 AND source IN (SELECT source FROM g)""",
+    "renumbered_clusters": """
+WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), k AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) - 1 AS i FROM c)
+SELECT doc_id, lang, 'spk' || lpad(CAST(i AS VARCHAR), 2, '0') AS spk FROM documents JOIN k USING (lang, source)""",
+    "row_index": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents",
+    "first_per_source": "SELECT source, min_by(lang, doc_id) AS lang FROM documents GROUP BY source",
+    "model_margins": """
+WITH p AS (SELECT vec_id, CAST(embedding[1:4] AS DOUBLE[]) AS p FROM embeddings),
+x AS (SELECT vec_id, unnest(p) AS x, unnest(['a', 'b', 'c', 'd']) AS l FROM p),
+s AS (SELECT vec_id, l, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, l DESC) AS r FROM x)
+SELECT a.vec_id, a.l AS label, round(a.s - b.s, 6) AS margin, round(CASE WHEN a.l = 'a' THEN a.s ELSE least(a.s, 0.49) END, 6) AS prob FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.r = 1 AND b.r = 2""",
+    "short_texts_dropped": """
+WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations)
+SELECT conv_id, turn FROM p WHERE length(text) >= 400 AND length(reply) >= 400""",
+    "folder_census": "SELECT lang, source AS folder, count(*) AS n FROM documents GROUP BY ALL",
+    "perplexities": "SELECT event_type, round(exp(avg(value / 100)), 6) AS perplexity FROM events GROUP BY event_type",
 }

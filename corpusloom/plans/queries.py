@@ -512,3 +512,158 @@ def stream_sliding(spark, root):
 def stream_session(spark, root):
     out = streaming.by_session(table(spark, root, "events"), ["user_id"])
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+# --- more of the operators -------------------------------------------------------------------------------------------------------------------------------
+
+
+@query
+def frame_layout(spark, root):
+    d = docs(spark, root, "doc_id", "source", "n_chars").withColumn("samples", F.col("n_chars") % 2000)
+    out = packing.frame_layout(d, ["source"], "doc_id", "samples")
+    return out.groupBy("source").agg(F.count("*").alias("frames"), F.max("segment_id").cast("long").alias("segments"), F.max("frame_index").alias("longest"))
+
+
+@query
+def generated_tokens(spark, root):
+    said = F.concat(F.lit("<|speech_start|><|s_9|>"), F.lit("<|speech_start|>"), packing.speech(F.array(F.col("doc_id"), F.col("n_chars"))))
+    return docs(spark, root, "doc_id", "n_chars").select("doc_id", F.array_join(F.transform(packing.generated_tokens(said), lambda t: t.cast("string")), ",").alias("tokens"))
+
+
+@query
+def codec_layers(spark, root):
+    one = F.array(F.col("doc_id").cast("int") % 4096)
+    two = F.array(*[(F.col("doc_id").cast("int") + i) % 4096 for i in range(2)])
+    three = F.array(*[(F.col("doc_id").cast("int") * 3 + i) % 4096 for i in range(4)])
+    d = docs(spark, root, "doc_id").withColumn("codes", arrays.interleaved(one, two, three))
+    a, b, c = arrays.layers(F.col("codes"))
+    show = lambda x: F.array_join(F.transform(x, lambda t: t.cast("string")), ",")
+    return d.select("doc_id", show(F.col("codes")).alias("ids"), show(a).alias("one"), show(b).alias("two"), show(c).alias("three"))
+
+
+@query
+def window_counts(spark, root):
+    d = docs(spark, root, "doc_id", "n_chars").withColumn("samples", F.col("n_chars") * 160)
+    return d.select("doc_id", arrays.hops(F.col("samples")).alias("hops"), arrays.trimmed(F.col("samples")).alias("trimmed"), arrays.positions(F.col("samples")).alias("positions"), filters.duration_between(F.col("samples")).alias("fits"))
+
+
+@query
+def run_summaries(spark, root):
+    e = numbered_events(spark, root).withColumn("dev", F.when(F.col("event_type") == "click", F.col("value")))
+    out = evaluation.run_summaries(e, "user_id", "frame", "value", {"click": "dev"})
+    return out.select("user_id", F.round("final_loss", 6).alias("final_loss"), F.round("last_mean_loss", 6).alias("last_mean_loss"), F.round("click_final", 6).alias("click_final"), F.round("click_min", 6).alias("click_min"), "click_points", F.round("dev_mean", 6).alias("dev_mean"))
+
+
+@query
+def heat_map(spark, root):
+    d = docs(spark, root, "source", "lang", "n_chars")
+    out = evaluation.heat_map(d, "source", "lang", "n_chars", ["de", "en", "es", "fr"])
+    return out.select("source", *(F.round(c, 4).alias(c) for c in ("de", "en", "es", "fr", "mean")))
+
+
+@query
+def rank_table(spark, root):
+    n = table(spark, root, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("train"), F.lit("ok").alias("status"), F.lit(None).cast("double").alias("dev"))
+    led = evaluation.leaderboard(n, "c_nationkey", "status", "dev", "train")
+    return evaluation.markdown(led, "place", [F.col("c_nationkey")])
+
+
+@query
+def trusted_labels(spark, root):
+    d = docs(spark, root, "doc_id", "lang", "n_chars").withColumn("prob", (F.col("n_chars") % 100) / 100).withColumn("margin", (F.col("n_chars") % 11) / 10)
+    ok = filters.trusted_label(F.col("lang"), F.lit("en"), F.col("prob"), F.col("margin"))
+    return d.groupBy("lang").agg(F.count_if(ok).alias("trusted"), F.count("*").alias("n"))
+
+
+@query
+def event_gate(spark, root):
+    e = table(spark, root, "events")
+    gated = filters.event_kept(F.col("value"), F.col("value") / 50, 30.0, 0.8)
+    sure = filters.verified_event(F.col("value") / 100, F.col("value") / 50)
+    return e.groupBy("event_type").agg(F.count_if(gated).alias("kept"), F.count_if(sure).alias("verified"), F.count("*").alias("n"))
+
+
+@query
+def tag_families(spark, root):
+    c = table(spark, root, "conversations").where("role = 'user'")
+    family = F.when(F.length("text") % 3 == 0, "burping").when(F.length("text") % 3 == 1, "sigh").otherwise("cough")
+    tagged = c.select("conv_id", "turn", F.concat(F.lit("<|sfx:"), family, F.lit("|>Xx "), F.lit("word")).alias("t"))
+    return filters.tag_filter(tagged, "t").select("conv_id", "turn", "t", F.array_join("families", ",").alias("families"), "no_tag_left")
+
+
+@query
+def prompt_texts(spark, root):
+    c = table(spark, root, "conversations").select("conv_id", "turn", F.regexp_replace(F.substring("text", 1, 120), r"[^ -~]", "").alias("t"))
+    return c.select("conv_id", "turn", F.md5(texts.prompt_punctuation(F.trim("t"))).alias("md5"))
+
+
+@query
+def mixed_words(spark, root):
+    w = F.regexp_extract_all("text", F.lit("[㐀-䶿一-鿿]|[^ \t\n\x0B\f\r㐀-䶿一-鿿]+"), F.lit(0))
+    return docs(spark, root, "doc_id", "text").select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(w, " ")).alias("md5"))
+
+
+@query
+def speech_marks(spark, root):
+    out = F.col("text")
+    for pattern in (r"\[[^\]]*\]", r"\([^)]*\)", r"[!-/:-@\[-`{-~]"):
+        out = F.regexp_replace(out, pattern, "")
+    return docs(spark, root, "doc_id", "text").select("doc_id", F.md5(F.trim(F.regexp_replace(out, r"[ \t\n\x0B\f\r]+", " "))).alias("md5"))
+
+
+@query
+def loose_marks(spark, root):
+    marked = F.concat(F.lit("5% % $7 a$ "), F.substring("text", 1, 300), F.lit(" <?> 9$ %"))
+    out = texts.drop_empty_brackets(texts.drop_loose_marks(marked))
+    return docs(spark, root, "doc_id", "text").where(~F.regexp_like("text", F.lit(r"[<\[({%$]"))).select("doc_id", F.md5(out).alias("md5"))
+
+
+@query
+def complete_groups(spark, root):
+    d = docs(spark, root, "doc_id", "source", "n_chars").withColumn("weight", F.sum("n_chars").over(W.partitionBy("source")))
+    return selection.complete_groups(d, "source", [F.col("doc_id")], 5, 7, "weight").select("source", "doc_id")
+
+
+@query
+def renumbered_clusters(spark, root):
+    return selection.renumbered(docs(spark, root, "doc_id", "lang", "source"), "lang", "source").select("doc_id", "lang", "spk")
+
+
+@query
+def row_index(spark, root):
+    from corpusloom.sources.readers import indexed
+
+    return indexed(docs(spark, root, "doc_id", "source"), "doc_id").select("doc_id", F.col("row").cast("long").alias("row"))
+
+
+@query
+def first_per_source(spark, root):
+    from corpusloom.sources.readers import first_per_file
+
+    return first_per_file(docs(spark, root, "doc_id", "source", "lang"), "source", "doc_id", "lang")
+
+
+@query
+def model_margins(spark, root):
+    e = table(spark, root, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("p"))
+    best = evaluation.top_two(arrays.softmax(F.transform("p", lambda x: x.cast("double"))), F.array(*map(F.lit, "abcd")))
+    capped = evaluation.ensemble(best["prob"], best["label"], F.lit("a"))
+    return e.select("vec_id", best["label"].alias("label"), F.round(best["margin"], 6).alias("margin"), F.round(capped, 6).alias("prob"))
+
+
+@query
+def short_texts_dropped(spark, root):
+    p = table(spark, root, "conversations").withColumn("reply", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")))
+    return p.where(filters.at_least_chars(F.col("text"), F.col("reply"), least=400)).select("conv_id", "turn")
+
+
+@query
+def folder_census(spark, root):
+    d = docs(spark, root, "doc_id", "lang", "source").withColumn("p", F.concat_ws("/", "source", "doc_id"))
+    return aggregates.folder_census(d, "lang", "p")
+
+
+@query
+def perplexities(spark, root):
+    e = table(spark, root, "events").groupBy("event_type").agg(F.avg(F.col("value") / 100).alias("loss"))
+    return e.select("event_type", F.round(evaluation.perplexity(F.col("loss")), 6).alias("perplexity"))
