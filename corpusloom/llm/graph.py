@@ -11,15 +11,15 @@ from corpusloom.llm import base
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id that a link to another id names; component is the smallest id reachable.
 
-    Each round is a handful of joins and aggregations by id, combined before the shuffle, so an id with very many links is split by
-    adaptive execution and no component meets in one task. Each round's links are written to the shared folder; the last round's are
+    Each round is a handful of joins and aggregations by id, combined before the shuffle, so an id with very many links is not
+    gathered and no component meets in one task. Each round's links are written to the shared folder; the last round's are
     dropped. Nulls and links of an id with itself name nothing.
     """
     edges = base.save(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links")
     while not _stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = base.lookup(both.where("v > u"), low, "u", "n", 2 * edges.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = base.save(moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
