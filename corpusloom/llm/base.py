@@ -97,6 +97,12 @@ WORKER_MEMORY = {"MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "262144", "M
 BATCH_BYTES = 4 << 20
 
 
+def sized(rows: DataFrame, key: str, n: str = "n", least: int = 1) -> DataFrame:
+    """``rows`` plus ``n``, the number of rows of their key; keys with fewer than ``least`` go. No key's rows are gathered."""
+    counts = save(rows.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) >= least), "sizes")
+    return lookup(rows, counts, key, n, counts.agg(F.sum(n)).first()[0] or 0)
+
+
 def reachable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it; clusters without such a path take it by ``--py-files``.
 

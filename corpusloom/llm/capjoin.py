@@ -190,10 +190,9 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
 
     base.reachable(spark)
     passed = base.save(classes.select("v", "rep").mapInArrow(decode, "node long, rep long"), "filters")
-    crowded = passed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    nodes = passed.join(base.small(crowded), "node").join(classes.select("rep", "v"), "rep")
+    nodes = base.sized(passed, "node", least=2).join(classes.select("rep", "v"), "rep")
     families_ = base.save(graph.components(_compared(_blocks(nodes), cosine, width, count=False)), "families")
-    sized = families_.withColumnRenamed("component", "node").join(families_.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("n")), "node")
+    sized = base.sized(families_.withColumnRenamed("component", "node"), "node")
     whole = _blocks(sized.withColumnRenamed("id", "rep").join(classes, "rep"))
     links = _compared(whole, cosine, width, count=True).groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     known = classes.join(links, "rep", "left").join(families_.withColumnRenamed("id", "rep"), "rep", "left")
