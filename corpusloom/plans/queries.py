@@ -43,7 +43,8 @@ def folded(c: str = "text"):
 
 def docs(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     df = table(spark, root, "documents")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return session.spread(df) if "text" in df.columns else df
 
 
 def numbered_events(spark: SparkSession, root: str) -> DataFrame:
