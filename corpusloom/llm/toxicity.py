@@ -18,8 +18,10 @@ BITS = 20
 #: Rows of the training sample in which a feature must occur.
 LEAST_ROWS = 4
 #: Standard deviations by which its share of label-1 rows must exceed that of label-0 rows.
-LEAST_Z = 4.0
-EPOCHS, RATE, L1 = 80, 0.3, 2e-4
+LEAST_Z = 5.5
+EPOCHS, RATE, L1 = 80, 0.3, 2e-3
+#: Probability of label 1 without any evidence.
+LEAK = 0.005
 
 
 def sentence_ids(w: kernel.Words) -> np.ndarray:
@@ -51,22 +53,21 @@ class Model:
         self.weights, self.bias = weights.astype(np.float32), float(bias)
 
     def sentences(self, w: kernel.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first word, logit) of each sentence that has words."""
+        """(text, first word, logit) of each sentence that has words; minus infinity where none of its features has a weight."""
         ids = sentence_ids(w)
         if not len(ids):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        score = self.weights[features(w)].sum(axis=0, dtype=np.float64)
-        return w.doc[first], first, self.bias + np.add.reduceat(score, first)
+        each = self.weights[features(w)]
+        told = np.add.reduceat((each != 0).any(axis=0).astype(np.int64), first) > 0
+        return w.doc[first], first, np.where(told, self.bias + np.add.reduceat(each.sum(axis=0, dtype=np.float64), first), -np.inf)
 
     def scores(self, texts: list[bytes]) -> list[float]:
-        """Noisy-or over sentences; an empty text scores as one sentence without words."""
+        """Noisy-or over sentences and the leak, which is all that a text without evidence, or without words, has. So length alone is none."""
         out: list[float] = []
         for _, part in kernel.chunks(texts):
-            w = kernel.Words(part, kernel.ALNUM)
-            doc, _, z = self.sentences(w)
-            clean = np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(part))
-            clean[w.count == 0] = np.logaddexp(0, self.bias)
+            doc, _, z = self.sentences(kernel.Words(part, kernel.ALNUM))
+            clean = np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(part)) - np.log1p(-LEAK)
             out += (-np.expm1(-clean)).tolist()
         return out
 
@@ -85,7 +86,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> Model:
     """Proximal Adagrad on the log-likelihood of document labels under noisy-or; deterministic."""
     if not len(texts) or not len(np.unique(labels)) > 1:
         rate = float(np.average(labels, weights=weights)) if len(texts) else 0.0
-        return Model(np.zeros((1 << BITS) + 1), np.log(max(rate, 1e-3) / (1 - min(rate, 0.999))))
+        return Model(np.zeros((1 << BITS) + 1), np.log(max(rate, 1e-3) / (1 - min(rate, 0.999))))  # no evidence either way
     positive = labels == 1
     rows, ones = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for at, part in kernel.chunks(texts):  # first pass: in how many rows of each label a feature occurs
@@ -121,13 +122,15 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray) -> Model:
     if not n_sent:
         return Model(np.zeros((1 << BITS) + 1), -5.0)
     col, sent, doc = np.concatenate(cols), np.concatenate(sents), np.concatenate(docs)
+    told, sent = np.unique(sent, return_inverse=True)  # the sentences with a known feature
+    doc, n_sent = doc[told], len(told)
     y, total = labels.astype(float), weights.sum()
-    theta, bias = np.zeros(len(known)), -5.0
+    theta, bias = np.zeros(len(known)), -2.0
     g2, b2 = np.full(len(known), 1e-8), 1e-8
     for _ in range(EPOCHS):
         z = bias + np.bincount(sent, weights=theta[col], minlength=n_sent)
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        clean = np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(texts))
+        clean = np.bincount(doc, weights=np.logaddexp(0, z), minlength=len(texts)) - np.log1p(-LEAK)
         any_ = np.maximum(-np.expm1(-clean), 1e-9)
         pull = weights * np.where(y > 0, -(1 - any_) / any_, 1.0) / total
         g = p * pull[doc]
