@@ -133,3 +133,19 @@ def test_extract(spark):
     got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract(df).collect()), key=str)
     assert got == [(1, text(PAGE), len(text(PAGE)))] * 2 + [(2, "", 0)]
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_articles_of_the_tables():
+    """The text of every page's article element, found by pattern."""
+    import html
+    import re
+
+    import duckdb
+
+    def article(page):
+        body = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"</?b>", "", p)).split()) for p in re.split(r"</?(?:p|br|h1)>", body)]
+        return " ".join(p for p in parts if p)
+
+    for (page,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        assert text(page) == article(page)
