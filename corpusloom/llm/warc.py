@@ -35,6 +35,15 @@ RECORD = T.StructType([
 ])
 
 
+def store_of(uri: str):
+    """(file system, path) of a URI as executors open it from Python: local, HDFS, S3 or GCS paths."""
+    import re
+
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
 class WarcError(ValueError):
     """A stream that isn't framed as WARC."""
 
@@ -137,7 +146,6 @@ def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url:
 
     def write(batches):
         import pyarrow as pa
-        from pyarrow import fs
 
         out, told = None, []
 
@@ -156,7 +164,7 @@ def write_archives(pages: DataFrame, folder: str, *, key: str = "page_id", url:
                 to = row["refers"]
                 raw = record("response" if to is None else "revisit", name(row["key"]), row["url"], payload, base64.b32encode(bytes.fromhex(row["sha"])).decode(), None if to is None else name(to))
                 if out is None:
-                    store, path = fs.FileSystem.from_uri(folder)
+                    store, path = store_of(folder)
                     store.create_dir(path, recursive=True)
                     file = f"{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{path}/{file}", compression=None)
@@ -183,12 +191,11 @@ def read_archives(archives: DataFrame, *, payloads: bool = True) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
-        from pyarrow import fs
 
         kind = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("valid", pa.bool_())])
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                store, place = fs.FileSystem.from_uri(path)
+                store, place = store_of(path)
                 with store.open_input_stream(place, compression=None) as stream:
                     held, size = [], 0
                     for r in read(stream):
