@@ -151,6 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     ``most_bytes`` of whole texts; label 0 is weighted back to its share. Rows with a null key, text or label teach nothing;
     a key with several labels counts as its largest. Without both labels the model is the base rate.
     """
+    import pyarrow as pa
+
     marks = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("key")).agg(F.max(F.col(f"`{label}`").cast("int")).alias("y"))
     texts = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
     seen = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -167,7 +169,12 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         rows = rows.where(F.when(F.col("y") == 1, F.col("u") < share[1] * scaled).otherwise(F.col("u") < share[0] * scaled))
     got = rows.orderBy("u", "y", F.md5("t")).select("t", "y").toArrow()
     y = np.array(got.column("y").to_pylist(), dtype=int)
-    return fit(kernel.as_bytes(got.column("t")), y, np.where(y == 1, 1 / share[1], 1 / share[0]) if len(y) else np.ones(0))
+    bodies = kernel.as_bytes(got.column("t"))
+    del got
+    model = fit(bodies, y, np.where(y == 1, 1 / share[1], 1 / share[0]) if len(y) else np.ones(0))
+    del bodies
+    pa.default_memory_pool().release_unused()  # the driver goes on to other work
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:

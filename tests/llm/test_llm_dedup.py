@@ -30,9 +30,11 @@ def test_components(spark, links):
     assert {r["id"]: r["component"] for r in graph.components(df).collect()} == components(nodes, [(a, b) for a, b in links if a != b])
 
 
-def test_components_random(spark):
+@pytest.mark.parametrize("hub", [graph.HUB, 3])
+def test_components_random(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
     rng = random.Random(2)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(7, i) for i in range(400, 440)]
     got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == components({x for ab in links if ab[0] != ab[1] for x in ab}, links)
 
