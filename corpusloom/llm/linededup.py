@@ -1,8 +1,8 @@
-"""Line dedup by winnowing: repeated runs of lines are found by guaranteed fingerprints, extended both ways and deleted where they are later.
+"""Line dedup by windows: repeated runs of lines are found by the hashes of their shortest windows and deleted where they are later.
 
-A unit is a line, or a sentence of a line. Every shortest window of consecutive units with ``least`` words selects one of them as its fingerprint: the
-longest, then the one of greatest hash. The choice depends on the window alone, so any repeated run of ``least`` words shares a fingerprint with
-its earlier copy.
+A unit is a line, or a sentence of a line. From each unit on, and up to each unit, there is one shortest window of consecutive units with ``least``
+words. A unit lies in a repeated run of ``least`` words or more if and only if one of these windows around it repeats: whatever of such a run can go without
+losing the unit or falling below ``least`` leaves a window. So each window meets its own first occurrence, whatever else its units occur in.
 """
 
 from __future__ import annotations
@@ -69,69 +69,61 @@ class Units:
             width *= 2
 
 
-def _units(keyed: DataFrame, least: int, sentences: bool) -> DataFrame:
-    """(k1, k2, hashes, words, marks): per text its units' hashes and words, and its fingerprints' places; texts without fingerprints are left out."""
-    fields = [T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("marks", T.ArrayType(T.IntegerType()))]
+    def windows(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, last, hash) of the shortest windows of ``least`` words or more that begin at a unit, and of those that end at one, each once."""
+        n = len(self.first)
+        if not n:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        upto = np.append(0, np.cumsum(self.words))
+        end = np.searchsorted(upto, upto[:-1] + least)
+        i = np.flatnonzero(end <= self.cut[self.doc + 1])
+        begin = np.searchsorted(upto, upto[1:] - least, side="right") - 1
+        j = np.flatnonzero(begin >= self.cut[self.doc])
+        first, end = np.append(i, begin[j]), np.append(end[i], j + 1)
+        first, end = np.divmod(np.unique(first * (n + 1) + end), n + 1)
+        up, down = kernel.powers(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.hash * up[:n], out=total[1:])
+        return first, end - 1, kernel.mix((total[end] - total[first]) * down[first] ^ (end - first).astype(np.uint64))
+
+
+def _windows(keyed: DataFrame, least: int, sentences: bool) -> DataFrame:
+    """(k1, k2, windows): per text its windows' hashes and first and last units; texts without windows are left out."""
+    kind = T.StructType([T.StructField("h", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
 
     def start():
         import pyarrow as pa
 
         def work(batch):
-            hashes, words, marks = [], [], []
+            size, parts = [np.zeros(1, np.int64)], [(np.empty(0, np.int64),) * 3]
             for _, texts in kernel.chunks(kernel.as_bytes(batch.column("_text"))):
                 u = Units(texts, sentences)
-                f = u.fingerprints(least)
-                own = np.searchsorted(u.doc[f], np.arange(len(texts) + 1)) if len(f) else np.zeros(len(texts) + 1, int)
-                for d in range(len(texts)):
-                    x, y = u.cut[d], u.cut[d + 1]
-                    hashes.append(u.hash[x:y].view(np.int64))
-                    words.append(u.words[x:y])
-                    marks.append(f[own[d] : own[d + 1]] - x)
-            return [pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int32()))]
+                first, last, h = u.windows(least)
+                doc = u.doc[first]
+                parts.append((h.view(np.int64), first - u.cut[doc], last - u.cut[doc]))
+                size.append(np.bincount(doc, minlength=len(texts)))
+            h, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+            rows = pa.StructArray.from_arrays([pa.array(h, pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["h", "first", "last"])
+            return [pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(size)).astype(np.int32)), rows)]
 
         return work
 
-    return base.append_columns(keyed, fields, start).drop("_text").where(F.size("marks") > 0)
-
-
-def extend(mine: np.ndarray, words: np.ndarray, theirs: np.ndarray, places: list[tuple[int, int]], least: int) -> list[list[int]]:
-    """Ranges of units of ``mine`` that repeat ``theirs`` around the given (place in mine, place in theirs), of ``least`` words or more."""
-    out: list[list[int]] = []
-    seen: dict[int, int] = {}
-    for p, q in sorted(places):
-        if seen.get(p - q, -1) >= p:
-            continue
-        back = min(p, q)
-        left = mine[p - back : p] != theirs[q - back : q]
-        a = p - (int(np.argmax(left[::-1])) if left.any() else back)
-        on = min(len(mine) - p, len(theirs) - q)
-        right = mine[p : p + on] != theirs[q : q + on]
-        b = p + (int(np.argmax(right)) if right.any() else on) - 1
-        seen[p - q] = b
-        if b >= a and int(words[a : b + 1].sum()) >= least:
-            out.append([a, b])
-    return out
+    return base.append_columns(keyed, [T.StructField("windows", T.ArrayType(kind))], start).drop("_text").where(F.size("windows") > 0)
 
 
 def repeated_ranges(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST, sentences: bool = True) -> DataFrame:
-    """(k1, k2, ranges): of each text, the ranges of units that repeat an earlier place; k1 is the key (null: the greatest), k2 the text's hash.
+    """(k1, k2, ranges): of each text, the ranges of units whose windows repeat an earlier place; k1 is the key (null: the greatest), k2 the text's hash.
 
-    A fingerprint is matched with its first occurrence in order of key, text hash and place. One row per fingerprint is
-    shuffled, minima are combined before it, and a fingerprint that very many texts hold meets in no one task.
+    They cover every run of ``least`` words or more that occurs at any earlier place, in order of key, text hash and place. One row a window
+    is shuffled, minima are combined before it, and a window that very many texts hold meets in no one task.
     """
     keyed = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1)).alias("k1"), F.xxhash64(f"`{text}`").alias("k2"), F.col(f"`{text}`").alias("_text")).where("_text is not null")
-    units = base.save(_units(keyed, least, sentences), "units")
-    marks = units.select("k1", "k2", F.explode("marks").alias("place"), "hashes").select("k1", "k2", "place", F.col("hashes")[F.col("place")].alias("h"))
-    first = base.save(marks.groupBy("h").agg(F.min(F.struct("k1", "k2", "place")).alias("first"), F.count("*").alias("n")).where("n > 1"), "fingerprints")
-    total = units.agg(F.sum(F.size("marks"))).first()[0] or 0
-    later = base.lookup(marks, first, "h", "n", total).where(F.struct("k1", "k2", "place") > F.col("first"))
-    pairs = later.select("k1", "k2", F.col("first.k1").alias("s1"), F.col("first.k2").alias("s2"), F.struct("place", F.col("first.place").alias("there")).alias("at"))
-    pairs = base.save(pairs.groupBy("k1", "k2", "s1", "s2").agg(F.array_sort(F.collect_set("at")).alias("at")), "repeats")
-    bodies = units.dropDuplicates(["k1", "k2"]) if _repeats(units) else units
-    own = bodies.join(base.small(pairs.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi").select("k1", "k2", "hashes", "words")
-    source = bodies.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("hashes").alias("theirs"))
-    source = source.join(base.small(pairs.select("s1", "s2").distinct()), ["s1", "s2"], "left_semi")
-    joined = pairs.join(own, ["k1", "k2"]).join(source, ["s1", "s2"])
+    windows = base.save(_windows(keyed, least, sentences), "windows")
+    rows = windows.select("k1", "k2", F.explode("windows").alias("w")).select("k1", "k2", "w.*")
+    earliest = base.save(rows.groupBy("h").agg(F.min(F.struct("k1", "k2", "first")).alias("earliest"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    total = windows.agg(F.sum(F.size("windows"))).first()[0] or 0
+    later = base.lookup(rows, earliest, "h", "n", total).where(F.struct("k1", "k2", "first") > F.col("earliest"))
+    found = later.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
     def start():
         import pyarrow as pa
@@ -139,22 +131,19 @@ def repeated_ranges(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
         def work(batch):
-            out = []
-            for mine, words, theirs, at in zip(*(batch.column(c) for c in ("hashes", "words", "theirs", "at")), strict=True):
-                places = [(x["place"], x["there"]) for x in at.as_py()]
-                found = extend(mine.values.to_numpy(), words.values.to_numpy(), theirs.values.to_numpy(), places, least)
-                out.append([{"first": a, "last": b} for a, b in found])
-            return [pa.array(out, kind)]
+            return [pa.array([merged(r.values.field("first").to_numpy(), r.values.field("last").to_numpy()) for r in batch.column("ranges")], kind)]
 
         return work
 
-    ranged = base.append_columns(joined, [T.StructField("ranges", RANGES)], start).where(F.size("ranges") > 0)
-    return ranged.groupBy("k1", "k2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return base.append_columns(found, [T.StructField("ranges", RANGES)], start)
 
 
-def _repeats(units: DataFrame) -> bool:
-    """Whether a key comes with one text more than once, as repeated rows have it."""
-    return bool(units.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+def merged(first: np.ndarray, last: np.ndarray) -> list[dict[str, int]]:
+    """Ranges that overlap or touch as one, ascending."""
+    order = np.argsort(first, kind="stable")
+    first, upto = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(np.append(True, first[1:] > upto[:-1] + 1))
+    return [{"first": int(a), "last": int(b)} for a, b in zip(first[new], upto[np.append(new[1:], len(first)) - 1], strict=True)]
 
 
 def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least: int = LEAST, sentences: bool = True) -> DataFrame:

@@ -227,3 +227,27 @@ def test_lines_edges(spark):
     by = {(r["doc_id"], r["text"]) for r in got}
     assert by == {(None, ""), (4, p), (5, "Own words here.\nAnd an end.")} and len(got) == 4
     assert linededup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_earlier_run(spark):
+    """Against all runs of enough words at all earlier places, units standing in many contexts."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghij", k=4)) for _ in range(n)) + "."
+    pool = [words(rng.choice([5, 10, 12, 20, 35])) for _ in range(12)]
+    alone, passage = pool[0], [words(12), words(20), words(12), words(10)]
+    texts = [" ".join([words(15), passage[1], words(14)]), *(" ".join([words(13), *passage, words(16)]) for _ in range(2))]
+    long = words(35)
+    texts += [f"{long} {words(14)}", f"{long} {alone} {words(13)}", f"{words(20)} {long} {alone} {words(15)}"]
+    texts += [" ".join(rng.choice(pool) if rng.random() < 0.7 else words(rng.randint(2, 14)) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    got = {r["doc_id"]: r for r in linededup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        u = linededup.Units([t.encode()])
+        gone = np.zeros(len(u.hash), bool)
+        for a in range(len(gone)):
+            runs = {b: tuple(u.hash[a:b].tolist()) for b in range(a + 1, len(gone) + 1) if u.words[a:b].sum() >= 30}
+            for b, run in runs.items():
+                gone[a:b] |= run in seen
+            seen.update(runs.values())
+        assert (got[i]["removed_units"], got[i]["removed_words"]) == (gone.sum(), u.words[gone].sum())
+    assert got[2]["removed_words"] == 54 and got[5]["removed_units"] == 2
