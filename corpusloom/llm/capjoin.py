@@ -22,30 +22,60 @@ from corpusloom.llm.minhash import families
 PER_FILTER, SHARED, TURNS = 192, 18.0, 12
 #: Vectors of a filter, or of a family, beyond which it is compared in pairs of blocks of this many.
 BLOCK = 1024
+#: Directions of a turn up to which they are independent, not products.
+SINGLE = 1024
 SEED = 20240611
 
 
-def _tail(t: float) -> float:
-    return 0.5 * math.erfc(t / math.sqrt(2))
-
-
-def shared_tail(t: float, cosine: float) -> float:
-    """Probability that two standard normals of this correlation both exceed ``t``."""
-    x = np.linspace(t, t + 8, 4001)
-    inner = np.array([_tail((t - cosine * v) / math.sqrt(1 - cosine**2)) for v in x])
-    return float(np.trapezoid(np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * inner, x))
+class Sphere:
+    """How likely a random direction's inner products with unit vectors of ``dim`` components, times sqrt(dim), reach a threshold; exact."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+        if dim > 1:
+            self.angles = np.linspace(0, math.pi, 100_001)
+            density = np.sin(self.angles) ** (dim - 2)
+            area = np.append(0, np.cumsum((density[1:] + density[:-1]) / 2))
+            self.caps = area / area[-1]
+
+    def cap(self, height: np.ndarray) -> np.ndarray:
+        """Share of the sphere at this height, -1 to 1, or above."""
+        if self.dim == 1:
+            return np.where(height > 1, 0.0, np.where(height > -1, 0.5, 1.0))
+        return np.where(height > 1, 0.0, np.interp(np.arccos(np.clip(height, -1, 1)), self.angles, self.caps))
+
+    def tail(self, t: float) -> float:
+        return float(self.cap(np.array(t / math.sqrt(self.dim))))
+
+    def shared_tail(self, t: float, cosine: float) -> float:
+        """The same of both of two vectors with this cosine."""
+        cosine = min(max(cosine, -1.0), 1.0)
+        if self.dim == 1 or cosine == 1:
+            return self.tail(t) if cosine > 0 else 0.0
+        height = t / math.sqrt(self.dim)
+        if height >= 1:
+            return 0.0
+        angle = np.linspace(0, math.acos(height), 4001)[1:]  # of the direction and the first vector
+        middle = (angle + np.append(0, angle[:-1])) / 2
+        need = (height - cosine * np.cos(middle)) / (math.sqrt(1 - cosine**2) * np.sin(middle))
+        return float(np.sum(np.diff(np.interp(np.append(0, angle), self.angles, self.caps)) * Sphere(self.dim - 1).cap(need)))
 
 
 class Codes:
     """Product codes for ``n`` vectors of ``dim`` components: caps thin as n grows, their number grows as sharing needs it."""
 
     def __init__(self, n: int, dim: int, cosine: float, per_filter: int = PER_FILTER, shared: float = SHARED, turns: int = TURNS):
-        self.dim, self.halves = dim, 2 if dim > 1 else 1
-        t = 0.0
-        while n * _tail(t) > per_filter and t < 6:
-            t += 0.05
-        self.threshold = t
-        self.size = max(2, math.ceil((shared / turns / max(shared_tail(t, cosine), 1e-12)) ** (1 / self.halves)))
+        self.dim, turns = dim, max(turns, 192 // dim)  # the fewer components, the less alike are the halves' shares of a vector
+        sphere, best = Sphere(dim), math.inf
+        for t in np.arange(0, math.sqrt(dim), 0.05):
+            passing, sharing = n * sphere.tail(t), sphere.shared_tail(t, cosine)
+            if t and (passing < per_filter or not sharing):
+                break
+            # comparisons a vector: the filters that it passes times the vectors of each; caps as thin as a pair at the threshold allows
+            if (work := shared * passing * max(passing, per_filter) / max(sharing, 1e-12)) < best:
+                best, self.threshold, size = work, float(t), shared / turns / max(sharing, 1e-12)
+        self.halves = 2 if dim > 3 and size > SINGLE else 1
+        self.size = max(2, math.ceil(size ** (1 / self.halves)))
         rng = np.random.default_rng(SEED)
         edges = np.linspace(0, dim, self.halves + 1).astype(int)
         self.parts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]

@@ -251,3 +251,21 @@ def test_every_earlier_run(spark):
             seen.update(runs.values())
         assert (got[i]["removed_units"], got[i]["removed_words"]) == (gone.sum(), u.words[gone].sum())
     assert got[2]["removed_words"] == 54 and got[5]["removed_units"] == 2
+
+
+@pytest.mark.parametrize(("n", "dim"), [(80_000, 64), (4_800_000, 64), (1_000_000, 8), (1_000_000, 4), (1_000_000, 2), (1000, 1)])
+def test_shared_filters_at_any_size(n, dim):
+    """Pairs at the threshold share as many filters as promised, however many vectors there are."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((1000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((1000, dim))
+    if dim > 1:
+        y -= (y * x).sum(axis=1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+    rows, filters = capjoin.Codes(n, dim, 0.9).decode(np.vstack([x, 0.9 * x + math_sqrt(0.19) * y if dim > 1 else x]))
+    sets = [set() for _ in range(2000)]
+    for i, f in zip(rows.tolist(), filters.tolist()):
+        sets[i].add(f)
+    shared = [len(sets[i] & sets[i + 1000]) for i in range(1000)]
+    assert np.mean(shared) >= 17 and sum(map(bool, shared)) >= 998
