@@ -9,6 +9,7 @@ by sketches gives candidate families, and every family's full sets are then comp
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -50,9 +51,26 @@ def shingle_sets(w: kernel.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], s[new]
 
 
-def trees(recall: float, threshold: float) -> int:
-    """Independent trees for ``recall`` of pairs at the threshold whose nodes are small after two selections."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**2)))
+def missed(n_trees: int, threshold: float, selections: int) -> float:
+    """Probability that a pair at the threshold parts on every path of ``selections`` coordinates, the first of them a root's.
+
+    Mean over how many of the signature's values agree, which all paths share.
+    """
+    picks, more = int(n_trees / threshold + 1e-9), min(1.0, 1 / threshold - 1)
+    total = 0.0
+    for k in range(VALUES + 1):
+        agree, lost = k / VALUES, 0.0
+        for _ in range(selections - 1):
+            one = 1 - agree * (1 - lost)
+            lost = (1 - more) * one + more * one * one
+        total += math.comb(VALUES, k) * threshold**k * (1 - threshold) ** (VALUES - k) * (1 - agree * (1 - lost)) ** picks
+    return total
+
+
+def trees(recall: float, threshold: float, selections: int) -> int:
+    """Independent trees for ``recall`` of pairs at the threshold, even those whose nodes are all large up to the last of the selections."""
+    least = max(1 - recall, 2 * (1 - threshold) ** VALUES)  # signatures that agree nowhere are beyond any number
+    return next(n for n in itertools.count(1) if missed(n, threshold, selections) <= least)
 
 
 def _signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -220,14 +238,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     A null key has a null component and is kept. Rows that repeat a key each belong with what their own text is like. Empty tables
     give empty results; other columns don't matter.
 
-    Chosen-path trees find a pair at the threshold with probability ``recall`` at least where two selections suffice, and mostly far better (each of
-    about 12 root selections alone finds 80 % of such pairs). Nothing is capped: nodes that stay large are compared in blocks.
+    Chosen-path trees find a pair at the threshold with probability ``recall`` at least, even where nodes branch up to the greatest depth.
+    Nothing is capped: nodes that stay large are compared in blocks.
     """
     threshold = percent / 100
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / VALUES)
     marked = base.save(_signatures(docs, key, text, shingle), "signatures")
     classes = base.save(marked.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
-    level = base.save(_counted(_rooted(classes, trees(recall, threshold), threshold)), "nodes")
+    level = base.save(_counted(_rooted(classes, trees(recall, threshold, DEPTH), threshold)), "nodes")
     done = [level.where(F.col("n") <= SMALL)]
     for depth in range(1, DEPTH + 1):
         large = level.where(F.col("n") > SMALL)

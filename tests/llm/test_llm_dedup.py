@@ -269,3 +269,14 @@ def test_shared_filters_at_any_size(n, dim):
         sets[i].add(f)
     shared = [len(sets[i] & sets[i + 1000]) for i in range(1000)]
     assert np.mean(shared) >= 17 and sum(map(bool, shared)) >= 998
+
+
+def test_trees_reach_the_recall_at_the_greatest_depth():
+    """Simulated branching of pairs at the threshold down to the last selection."""
+    rng, pairs, threshold = np.random.default_rng(13), 40_000, 0.8
+    picks = int(minhash.trees(0.9999, threshold, minhash.DEPTH) / threshold)
+    agree = rng.binomial(minhash.VALUES, threshold, pairs) / minhash.VALUES
+    alive = rng.binomial(picks, agree)
+    for _ in range(minhash.DEPTH - 1):
+        alive = rng.binomial(alive + rng.binomial(alive, 1 / threshold - 1), agree)
+    assert (alive == 0).sum() <= 12
