@@ -2,18 +2,21 @@
 
 Documents of equal shingle sets are one class. From the root of each of several independent trees, classes branch by selected minwise
 tokens: a node picks coordinates of the signature (1/threshold of them on average) and a class goes to the child that its own values
-there name. Nodes of few classes stop and are compared exhaustively; larger ones branch on, each with coordinates of its own. What is
-still large at the greatest depth agrees in so many coordinates that it is likely one family; its classes are compared by blocks. Comparing nodes
-by sketches gives candidate families, and every family's full sets are then compared, exactly.
+there name. Nodes of few classes stop and are compared exhaustively; of larger ones, first each block is compared with itself and with the node's
+pivots. Links of alike sketches make families. A large node that lies in one family is settled, as families are compared on full sets anyway; one
+that lies in a family but for few classes compares those with all; only others branch on, each with coordinates of its own. What is still
+large at the greatest depth is compared in pairs of blocks. At last every family's full sets are compared, exactly: large families by blocks and pivots
+first, then what that leaves apart with all the rest.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +26,8 @@ from corpusloom.llm import base, graph, kernel
 VALUES = 64
 #: Classes of a node that are compared exhaustively, of a block of a larger node at the greatest depth, that depth.
 SMALL, BLOCK, DEPTH = 48, 256, 5
+#: Members that a large node, and a large family, has each of its blocks compared with.
+PIVOTS = 2, 4
 #: Standard deviations of the sketch's estimate below the threshold at which a pair is still a candidate.
 SLACK = 4.0
 #: Columns of the incidence matrix that are multiplied at once.
@@ -130,8 +135,42 @@ def _branch(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("rep", F.explode(F.when(more & (one != two), F.array(child(one), child(two))).otherwise(F.array(child(one)))).alias("node"))
 
 
+def _lowest(by: str, n: int) -> list[Column]:
+    """For each of ``n`` hashes the ``rep`` that is lowest in a group ``by``: its pivots, drawn without ordering the group."""
+    return [F.min(F.struct(F.xxhash64("rep", by, F.lit(k)), "rep"))["rep"] for k in range(n)]
+
+
 def _counted(rows: DataFrame) -> DataFrame:
-    return rows.join(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node")
+    """(node, rep, n, pivots) of nodes of two classes or more."""
+    return rows.join(rows.groupBy("node").agg(F.count("*").alias("n"), F.array(*_lowest("node", PIVOTS[0])).alias("pivots")).where("n > 1"), "node")
+
+
+def _blocks(size: str = "n") -> Column:
+    return F.ceil(F.col(size) / BLOCK).cast("int")
+
+
+def with_pivots(rows: DataFrame) -> DataFrame:
+    """Each row in one block of its large node, the pivots in all of its blocks: as many rows as before but for the pivots."""
+    own = F.array(F.pmod(F.xxhash64("rep"), _blocks()).cast("int"))
+    every = F.when(F.array_contains("pivots", F.col("rep")), F.sequence(F.lit(0), _blocks() - 1)).otherwise(own)
+    return rows.withColumn("_block", F.explode(every)).withColumn("node", F.xxhash64("node", "_block", F.lit("pivots"))).drop("_block")
+
+
+def _parted(rows: DataFrame, groups: DataFrame, few: int) -> tuple[DataFrame, DataFrame]:
+    """What large nodes still have to compare, ``groups`` (id, component) having those that need no comparison: (nodes, mixed).
+
+    Nodes in one group go. In ``nodes`` are those of which all but ``few`` rows are in one group: that group's rows are dealt out to blocks and the few
+    are in all of them. ``mixed`` are the others, as they came.
+    """
+    owned = rows.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    owned = base.save(owned, "owned")
+    counts = owned.groupBy("node", "component").agg(F.count("*").alias("m")).groupBy("node").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("most"))
+    counts = counts.select("node", (F.col("all") - F.col("most.m")).alias("rest"), F.col("most.component").alias("_most")).where("rest > 0")
+    told = owned.join(counts, "node")
+    own = F.array(F.pmod(F.xxhash64("rep"), _blocks()).cast("int"))
+    dealt = told.where(F.col("rest") <= few).withColumn("_block", F.explode(F.when(F.col("component") == F.col("_most"), own).otherwise(F.sequence(F.lit(0), _blocks() - 1))))
+    nodes = dealt.withColumn("node", F.xxhash64("node", "_block", F.lit("few")))
+    return nodes.select(rows.columns), told.where(F.col("rest") > few).select(rows.columns)
 
 
 def in_blocks(rows: DataFrame, node: str, member: str, size: str, block: int) -> DataFrame:
@@ -235,35 +274,44 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Words are what white space (space, \\t to \\r) parts, A-Z lower-cased; a document's set holds its distinct runs of ``shingle`` words,
     or its whole sequence if it has fewer. Documents with 100 * intersection >= ``percent`` * union are linked, on full sets;
     component_id is the smallest key reachable and kept marks it. Texts that are null or without words have an empty set and link with nothing.
-    A null key has a null component and is kept. Rows that repeat a key each belong with what their own text is like. Empty tables
-    give empty results; other columns don't matter.
+    A null key has a null component and is kept. Rows that repeat a key are one document, so all its texts are in one component, n_shingles being
+    each row's own. Empty tables give empty results; other columns don't matter.
 
     Chosen-path trees find a pair at the threshold with probability ``recall`` at least, even where nodes branch up to the greatest depth.
-    Nothing is capped: nodes that stay large are compared in blocks.
+    Nothing is capped, and a large node or family takes rows in proportion to its size unless many of its members are apart.
     """
     threshold = percent / 100
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / VALUES)
     marked = base.save(_signatures(docs, key, text, shingle), "signatures")
     classes = base.save(marked.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "classes")
+
+    def linked(parts: list[DataFrame]) -> DataFrame:
+        nodes = functools.reduce(DataFrame.union, [p.select("node", "rep") for p in parts])
+        return base.save(_candidates(nodes.join(classes.select("rep", "sketch"), "rep"), least), "candidates")
+
     level = base.save(_counted(_rooted(classes, trees(recall, threshold, DEPTH), threshold)), "nodes")
-    done = [level.where(F.col("n") <= SMALL)]
+    large = level.where(F.col("n") > SMALL)
+    links = linked([level.where(F.col("n") <= SMALL), with_pivots(large)])
+    candidates = base.save(graph.components(links), "families")
+    more = []
     for depth in range(1, DEPTH + 1):
-        large = level.where(F.col("n") > SMALL)
         if not large.limit(1).count():
             break
+        nodes, mixed = _parted(large, candidates, SMALL)
+        more.append(nodes)
         if depth == DEPTH:
-            done.append(in_blocks(large, "node", "rep", "n", BLOCK))
+            more.append(in_blocks(mixed, "node", "rep", "n", BLOCK))
             break
-        level = base.save(_counted(_branch(large.join(classes.select("rep", "sig"), "rep"), threshold)), "nodes")
-        done.append(level.where(F.col("n") <= SMALL))
-    nodes = done[0]
-    for more in done[1:]:
-        nodes = nodes.unionByName(more)
-    sketched = nodes.select("node", "rep").join(classes.select("rep", "sketch"), "rep")
-    candidates = base.save(graph.components(_candidates(sketched, least)), "families")
-    sized = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("n")), "component")
+        level = base.save(_counted(_branch(mixed.select("node", "rep").join(classes.select("rep", "sig"), "rep"), threshold)), "nodes")
+        more.append(level.where(F.col("n") <= SMALL))
+        large = level.where(F.col("n") > SMALL)
+    if more:
+        known = candidates.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        candidates = base.save(graph.components(known.union(linked(more))), "families")
+    sized = candidates.select(F.col("id").alias("rep"), F.col("component").alias("node"))
+    sized = sized.join(sized.groupBy("node").agg(F.count("*").alias("n"), F.array(*_lowest("node", PIVOTS[1])).alias("pivots")), "node")
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("_text")).where("_text is not null")
-    texts = texts.join(base.small(sized.select(F.col("id").alias("rep"), F.col("component").alias("node"), "n")), "rep")
+    texts = texts.join(base.small(sized), "rep")
 
     def start():
         import pyarrow as pa
@@ -278,8 +326,22 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
         return work
 
-    sets = base.append_columns(texts, [T.StructField("shingles", T.BinaryType())], start).drop("_text").where(F.octet_length("shingles") > 0)
-    found = graph.components(_verified(in_blocks(sets, "node", "rep", "n", BLOCK), percent))
+    sets = base.save(base.append_columns(texts, [T.StructField("shingles", T.BinaryType())], start).drop("_text").where(F.octet_length("shingles") > 0), "sets")
+    large = sets.where(F.col("n") > BLOCK)
+    alike = base.save(_verified(sets.where(F.col("n") <= BLOCK).union(with_pivots(large)), percent), "alike")
+    found = base.save(graph.components(alike), "components")
+    known = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    again = []
+    if large.limit(1).count():
+        nodes, mixed = _parted(large.drop("shingles"), found, BLOCK)
+        rest = nodes.select("node", "rep").union(in_blocks(mixed, "node", "rep", "n", BLOCK).select("node", "rep")).distinct()
+        again.append(_verified(rest.join(large.select("rep", "shingles"), "rep"), percent))
+    own = marked.where("n > 0 and id is not null")
+    several = own.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low <> high").select("id")
+    if several.limit(1).count():  # one key, several texts
+        again.append(own.join(several, "id").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    if again:
+        found = graph.components(functools.reduce(DataFrame.union, again, known))
     labelled = classes.select("h1", "h2", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     joined = marked.select("id", "h1", "h2", "n").join(labelled, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))

@@ -86,6 +86,12 @@ def test_near_duplicates_edges(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_of_one_key_with_several_texts(spark):
+    rows = [(3, "a b c d e f"), (5, "a b c d e f"), (5, "g h i j k l"), (9, "g h i j k l"), (2, "m n o p q r"), (9, "s t u v w x"), (4, "s t u v w x")]
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(3, 3), (5, 3), (5, 3), (9, 3), (2, 2), (9, 3), (4, 3)])
+
+
 def test_similar_is_exact():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 60)).astype(np.uint64)) for _ in range(30)]
