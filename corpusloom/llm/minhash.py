@@ -25,7 +25,7 @@ from corpusloom.llm import base, graph, kernel
 #: Values of a signature; of a sketch, their lowest bytes.
 VALUES = 64
 #: Classes of a node that are compared exhaustively, of a block of a larger node at the greatest depth, that depth.
-SMALL, BLOCK, DEPTH = 48, 256, 5
+SMALL, BLOCK, DEPTH = 48, 256, 4
 #: Members that a large node, and a large family, has each of its blocks compared with.
 PIVOTS = 2, 4
 #: Standard deviations of the sketch's estimate below the threshold at which a pair is still a candidate.
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     for depth in range(1, DEPTH + 1):
         if not large.limit(1).count():
             break
-        nodes, mixed = _parted(large, candidates, SMALL)
+        nodes, mixed = _parted(large, candidates, BLOCK)
         more.append(nodes)
         if depth == DEPTH:
             more.append(in_blocks(mixed, "node", "rep", "n", BLOCK))
