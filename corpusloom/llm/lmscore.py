@@ -1,13 +1,15 @@
 """LM scoring by cross-entropy difference: matched target and background bigram models over one vocabulary.
 
-Both models have the same vocabulary, order and smoothing. A word's loss is -ln p(word | word before); a document's score is the mean of target loss
-minus background loss over its words, so a low score means "like the target".
+Both models have the same vocabulary, every word of the corpus, the same order and smoothing. A word's loss is -ln p(word | word before); a document's score
+is the mean of target loss minus background loss over its words, so a low score means "like the target".
+
+The models grow with the corpus, so they are never in one place. Texts are taken in batches. Each counts its words and pairs of words and sends the counts, dealt out
+to parts by hash, as arrays: one row a batch and part. A part adds up what it gets and sends each batch the sums of the batch's own entries, in the order in
+which they came. So a batch is scored with the counts of the whole corpus, though it holds those alone that its texts need.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,177 +17,206 @@ from pyspark.sql import types as T
 
 from corpusloom.llm import base, kernel
 
-#: Least share of a corpus's words, or of its pairs of words, that makes a word part of the vocabulary, a pair part of the models. 1 / share bounds
-#: their number, whatever the size of the corpus, so they may be broadcast.
-WORD_SHARE, PAIR_SHARE = 2e-6, 1e-6
+#: Bytes of text that are counted and scored together (a longer text is a batch of its own).
+BATCH = 16 << 20
+#: Bytes of corpus whose entries one part adds up; beyond MOST_PARTS parts they grow up to the second number, then their number does.
+PART, MOST_PARTS = (4 << 20, 64 << 20), 4096
 #: Weight, in words, of the unigram model in the bigram model (Dirichlet smoothing).
 PRIOR = 50.0
-#: Words outside the vocabulary are one word of this id; the text's begin is a history of its own.
-OTHER, BEGIN = 0, 1
+#: The history of a text's first word; no word has its key but by chance.
+BEGIN = np.uint64(0x8B1A5C3D2E4F6071)
 
 
-def _hashes(texts: list[bytes]):
-    w = kernel.Words(texts, kernel.ALNUM)
-    return w, w.hashes()
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return kernel.mix(before * np.uint64(kernel.BASE) + word)
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("k").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as the planes of their bytes, lowest first: most high planes are zeros, which compress to nothing."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-def _counts(docs: DataFrame, count) -> DataFrame:
-    """(k, b, t): how often ``count(words, hashes)`` gives each key, in all texts and in target texts; summed in each batch before the shuffle."""
-    base.reachable(docs.sparkSession)
+def from_planes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of entries by part, and where each part begins and ends in it."""
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    return np.argsort(part, kind="stable"), np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+
+
+class Batch:
+    """Words of a batch: ``keys`` of its distinct words, the commonest first after BEGIN; ``ids`` of its words; ``counts`` of words of each text."""
+
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        self.keys, self.ids, self.counts = keys, ids, counts
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        before = np.empty(len(ids), np.int64)
+        before[1:] = ids[:-1]
+        before[(np.cumsum(counts) - counts)[counts > 0]] = 0
+        self.before = before
+        pairs, self.pair = np.unique(before * len(keys) + ids, return_inverse=True)
+        self.first, self.second = np.divmod(pairs, len(keys))
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, counts: np.ndarray) -> Batch:
+        keys, ids, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(1, len(keys) + 1)
+        return cls(np.append(BEGIN, keys[order]), rank[ids], counts)
+
+    def pair_keys(self) -> np.ndarray:
+        return pair_keys(self.keys[self.first], self.keys[self.second])
+
+    def losses(self, words: np.ndarray, pairs: np.ndarray, total: np.ndarray, vocabulary: int, prior: float) -> np.ndarray:
+        """(2, texts): sums of the losses in background and target; ``words`` has (b, t) as word and (b, t) as history, ``pairs`` (b, t)."""
+        out = []
+        for k in (0, 1):
+            unigram = (words[:, k] + 1) / (total[k] + vocabulary + 1)
+            each = -np.log((pairs[:, k] + prior * unigram[self.second]) / (words[self.first, 2 + k] + prior))
+            out.append(np.bincount(self.doc, weights=each[self.pair], minlength=len(self.counts)))
+        return np.array(out)
+
+
+COUNTED = "batch long, part int, ids array<{key}>, counts binary, tokens binary, words binary, word_counts binary, pairs binary, pair_counts binary"
 
-    def run(batches):
-        import pyarrow as pa
 
-        def out(keys, marks):
-            k, where = np.unique(np.concatenate(keys), return_inverse=True)
-            target = np.concatenate(marks)
-            b, t = np.bincount(where, minlength=len(k)), np.bincount(where, weights=target, minlength=len(k)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(b), pa.array(t)], names=["k", "b", "t"])
+def _counted(docs: DataFrame, parts: int, batch_bytes: int) -> DataFrame:
+    """Rows of ``COUNTED`` from (key, text, target): per batch one row of part -1 with its texts' keys and words, and one a part with the keys and counts of
+    its entries there: of words (b, t as words, b, t as histories) and of pairs (b, t)."""
+    kind = docs.schema["key"].dataType
+    schema = T._parse_datatype_string(COUNTED.format(key=kind.simpleString()))
 
-        make = count()
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        fields = [pa.int64(), pa.int32(), None, *[pa.binary()] * 6]
+        number = TaskContext.get().partitionId() << 32
+
+        def rows(ids, hashes, counts, target):
+            nonlocal number
+            number += 1
+            b = Batch.of(np.concatenate(hashes), np.concatenate(counts))
+            aim = np.concatenate(target)[b.doc]
+            n = len(b.keys)
+            tally = lambda x, size: np.stack([np.bincount(x, minlength=size), np.bincount(x, weights=aim, minlength=size).astype(np.int64)], axis=1)
+            words, pairs = np.hstack([tally(b.ids, n), tally(b.before, n)]).astype(np.uint32), tally(b.pair, len(b.first)).astype(np.uint32)
+            keys = b.pair_keys()
+            (wo, wc), (po, pc) = by_part(b.keys, parts), by_part(keys, parts)
+            some = np.flatnonzero((np.diff(wc) > 0) | (np.diff(pc) > 0))
+            cut = lambda x, order, edge, pack: [pack(x[order[edge[p] : edge[p + 1]]]) for p in some]
+            ids = pa.concat_arrays(ids)
+            lists = pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * (len(some) + 1)], pa.int32()), ids)
+            raw = lambda x: x.tobytes()
+            none = [None] * len(some)
+            columns = [
+                [number] * (len(some) + 1), [-1, *some.tolist()], lists, [b.counts.astype(np.int32).tobytes(), *none], [planes(b.ids.astype(np.uint32)), *none],
+                [b.keys.tobytes(), *cut(b.keys, wo, wc, raw)], [None, *cut(words, wo, wc, planes)], [None, *cut(keys, po, pc, raw)], [None, *cut(pairs, po, pc, planes)],
+            ]
+            return pa.RecordBatch.from_arrays([c if t is None else pa.array(c, t) for c, t in zip(columns, fields, strict=True)], names=schema.names)
+
+        held, size = ([], [], [], []), 0
         for batch in batches:
-            target = batch.column("target").to_numpy(zero_copy_only=False).astype(float)
-            keys, marks, size = [], [], 0
+            key, target = batch.column("key"), batch.column("target").to_numpy(zero_copy_only=False).astype(float)
             for at, texts in kernel.chunks(kernel.as_bytes(batch.column("text"))):
-                w, h = _hashes(texts)
-                keys.append(make(w, h))
-                marks.append(target[at + w.doc])
-                size += len(h)
-                if size > 4_000_000:
-                    yield out(keys, marks)
-                    keys, marks, size = [], [], 0
-            if size:
-                yield out(keys, marks)
-
-    return _summed(docs.mapInArrow(run, "k long, b long, t long"))
-
-
-class Models:
-    """Two bigram models over one vocabulary."""
-
-    def __init__(self, words: np.ndarray, word_counts: np.ndarray, totals: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, history: np.ndarray, prior: float):
-        self.words = words  # hashes, ascending; the id of words[i] is i + 2
-        size = len(words) + 1  # the vocabulary with OTHER
-        other = totals - word_counts.sum(axis=1)
-        unigram = np.zeros((2, len(words) + 2))
-        unigram[:, 2:] = word_counts
-        unigram[:, OTHER] = other
-        self.unigram = (unigram + 1) / (totals[:, None] + size)
-        self.pairs, self.pair_counts, self.history, self.prior = pairs, pair_counts, history, prior
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        return word_ids(self.words, hashes)
-
-    def losses(self, w: kernel.Words, hashes: np.ndarray) -> np.ndarray:
-        """(2, words): loss of each word in the background and the target model."""
-        ids = self.ids(hashes)
-        before = histories(w, ids)
-        count = np.zeros((2, len(ids)))
-        if len(self.pairs):
-            key = before * (len(self.words) + 2) + ids
-            place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            known = self.pairs[place] == key
-            count[:, known] = self.pair_counts[:, place[known]]
-        return -np.log((count + self.prior * self.unigram[:, ids]) / (self.history[:, before] + self.prior))
-
-
-def word_ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.full(len(hashes), OTHER)
-    place = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[place] == hashes, place + 2, OTHER)
-
-
-def histories(w: kernel.Words, ids: np.ndarray) -> np.ndarray:
-    before = np.empty(len(ids), np.int64)
-    before[1:] = ids[:-1]
-    before[w.first[:-1][w.count > 0]] = BEGIN
-    return before
-
-
-def train(docs: DataFrame, *, text: str = "text", target: str = "target", word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, prior: float = PRIOR) -> Models:
-    """Count words, then pairs of words, over all texts, and in the same pass over those marked by the boolean column ``target``.
-
-    Every text of the corpus is counted whole. A word or pair counts in the models if it has the share in the background or in the target;
-    so the models have at most 2 / share entries. What is below goes to the word OTHER, or to the unigram model.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.coalesce(F.col(f"`{target}`"), F.lit(False)).alias("target"))
-
-    def words():
-        return lambda w, h: h.view(np.int64)
-
-    unigrams = base.save(_counts(texts, words), "unigrams")
-    total = np.array([x or 0 for x in unigrams.agg(F.sum("b"), F.sum("t")).first()], float)
-    floor = [max(1.0, math.ceil(x * word_share)) for x in total]
-    kept = unigrams.where((F.col("b") >= floor[0]) | (F.col("t") >= floor[1])).toArrow()
-    order = np.argsort(kept.column("k").to_numpy().view(np.uint64))
-    vocabulary = kept.column("k").to_numpy().view(np.uint64)[order]
-    counts = np.array([kept.column(c).to_numpy()[order] for c in ("b", "t")], float)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary) + 2
-
-    def pairs():
-        known = shared.value
-
-        def make(w, h):
-            ids = word_ids(known, h)
-            return histories(w, ids) * (len(known) + 2) + ids
-
-        return make
-
-    bigrams = base.save(_counts(texts, pairs), "bigrams")
-    by_history = bigrams.groupBy(F.expr(f"k div {size}").alias("h")).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).toArrow()  # one row a word of the vocabulary
-    history = np.zeros((2, size))
-    history[:, by_history.column("h").to_numpy()] = [by_history.column("b").to_numpy(), by_history.column("t").to_numpy()]
-    floor = [max(1.0, math.ceil(x * pair_share)) for x in total]
-    kept = bigrams.where((F.col("b") >= floor[0]) | (F.col("t") >= floor[1])).toArrow()
-    keys = kept.column("k").to_numpy()
-    order = np.argsort(keys)
-    pair_counts = np.array([kept.column(c).to_numpy()[order] for c in ("b", "t")], np.int32).reshape(2, -1)
-    return Models(vocabulary, counts.reshape(2, -1), total, keys[order], pair_counts, history, prior)
-
-
-def score(docs: DataFrame, models: Models, *, text: str = "text") -> DataFrame:
-    """Adds ``n_words``, ``target_loss``, ``background_loss`` (means per word) and ``score``, their difference; columns with these names are replaced.
-
-    Texts that are null or without words have 0 words and null losses. Rows are mapped one by one, equal texts score alike.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    fields = [T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score"))]
+                w = kernel.Words(texts, kernel.ALNUM)
+                for part, x in zip(held, (key.slice(at, len(texts)), w.hashes(), w.count, target[at : at + len(texts)]), strict=True):
+                    part.append(x)
+                size += len(w.data)
+                if size >= batch_bytes:
+                    yield rows(*held)
+                    held, size = ([], [], [], []), 0
+        if size:
+            yield rows(*held)
+
+    base.reachable(docs.sparkSession)
+    return docs.mapInArrow(run, schema)
 
-    def start():
-        import pyarrow as pa
 
-        m = shared.value
+def _summed(counted: DataFrame, parts: int) -> DataFrame:
+    """(batch, part, words, pairs, vocabulary, b, t): the sums over all batches for a batch's own entries; one row a part has its distinct words and words in all."""
 
-        def work(batch):
-            n, sums = [], []
-            for _, texts in kernel.chunks(kernel.as_bytes(batch.column(text))):
-                w, h = _hashes(texts)
-                losses = m.losses(w, h)
-                n.append(w.count)
-                sums.append([np.bincount(w.doc, weights=x, minlength=len(texts)) for x in losses])
-            count = np.concatenate(n) if n else np.empty(0, np.int64)
-            back, aim = (np.concatenate([s[k] for s in sums]) if sums else np.empty(0) for k in (0, 1))
-            none, by = count == 0, np.maximum(count, 1)
-            return [pa.array(count, pa.int64()), *(pa.array(x / by, pa.float64(), mask=none) for x in (aim, back, aim - back))]
+    def sums(raw: list[bytes], counts: list[bytes], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        keys, where = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
+        each = np.concatenate([from_planes(c, np.uint32).reshape(-1, width) for c in counts])
+        total = np.stack([np.bincount(where, weights=each[:, k], minlength=len(keys)) for k in range(width)], axis=1).astype(np.int64)
+        edge = np.cumsum([len(x) // 8 for x in raw])[:-1]
+        return total, [total[x] for x in np.split(where, edge)]
 
-        return work
+    def run(batches):
+        import pyarrow as pa
 
-    return base.append_columns(docs, fields, start)
+        for part, (batch, words, word_counts, pairs, pair_counts) in base.sorted_groups(batches, "part", ["batch", "words", "word_counts", "pairs", "pair_counts"]):
+            cut = np.append(np.flatnonzero(np.diff(part)) + 1, len(part))
+            for x, y in zip(np.append(0, cut), cut, strict=False):
+                total, own = sums(words[x:y], word_counts[x:y], 4)
+                _, own_pairs = sums(pairs[x:y], pair_counts[x:y], 2)
+                first = np.arange(y - x) == 0
+                told = [np.where(first, v, 0) for v in (int((total[:, 0] > 0).sum()), int(total[:, 0].sum()), int(total[:, 1].sum()))]
+                columns = [pa.array(batch[x:y], pa.int64()), pa.array(part[x:y], pa.int32()), *(pa.array([planes(v) for v in c], pa.binary()) for c in (own, own_pairs)), *(pa.array(v, pa.int64()) for v in told)]
+                yield pa.RecordBatch.from_arrays(columns, names=["batch", "part", "words", "pairs", "vocabulary", "b", "t"])
 
+    rows = counted.where("part >= 0").select("batch", "part", "words", "word_counts", "pairs", "pair_counts")
+    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "batch long, part int, words binary, pairs binary, vocabulary long, b long, t long")
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``score`` of every document, the target corpus being the documents whose key is in ``target``, the background all of them.
 
-    Null keys are in no target, repeated keys of ``target`` count once, repeated rows of ``docs`` are counted each. With an empty target its model is uniform.
+def _scored(counted: DataFrame, summed: DataFrame, parts: int, total: np.ndarray, vocabulary: int, prior: float) -> DataFrame:
+    """(key, n_words, target_loss, background_loss, score) of each text, batch by batch."""
+    kind = counted.schema["ids"].dataType.elementType
+    schema = T.StructType([T.StructField("key", kind), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score"))])
+
+    def run(batches):
+        import pyarrow as pa
+
+        def result(head, words, pairs):
+            ids, counts, tokens, keys = head
+            b = Batch(np.frombuffer(keys, np.uint64), from_planes(tokens, np.uint32).astype(np.int64), np.frombuffer(counts, np.int32).astype(np.int64))
+            told = []
+            for k, raw, width in ((b.keys, words, 4), (b.pair_keys(), pairs, 2)):
+                out = np.empty((len(k), width), np.int64)
+                out[by_part(k, parts)[0]] = np.concatenate([from_planes(x, np.int64).reshape(-1, width) for x in raw])
+                told.append(out)
+            none, by = b.counts == 0, np.maximum(b.counts, 1)
+            back, aim = b.losses(*told, total, vocabulary, prior) / by
+            return pa.RecordBatch.from_arrays([ids, pa.array(b.counts), *(pa.array(x, pa.float64(), mask=none) for x in (aim, back, aim - back))], names=schema.names)
+
+        head, words, pairs = None, [], []
+        for batch in batches:
+            for i, part in enumerate(batch.column("part").to_pylist()):
+                if part < 0:
+                    if head:
+                        yield result(head, words, pairs)
+                    words, pairs = [], []
+                    head = (batch.column("ids")[i].values, *(batch.column(c)[i].as_py() for c in ("counts", "tokens", "keys")))
+                else:
+                    words.append(batch.column("words")[i].as_py())
+                    pairs.append(batch.column("pairs")[i].as_py())
+        if head:
+            yield result(head, words, pairs)
+
+    heads = counted.where("part < 0").select("batch", "part", "ids", "counts", "tokens", F.col("words").alias("keys"))
+    rows = heads.unionByName(summed.select("batch", "part", "words", "pairs"), allowMissingColumns=True)
+    return rows.repartition("batch").sortWithinPartitions("batch", "part").mapInArrow(run, schema)
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, key: str = "doc_id", text: str = "text", prior: float = PRIOR, batch_bytes: int = BATCH) -> DataFrame:
+    """(``key``, ``n_words``, ``target_loss``, ``background_loss``, ``score``), one row a document: means per word, and their difference.
+
+    The target corpus are the documents whose key is in ``target``, the background all of them; both models hold every word and pair of the corpus,
+    none is cut off at any size. Null keys are in no target, repeated keys of ``target`` count once, repeated rows of ``docs`` are counted and scored each.
+    Texts that are null or without words have 0 words and null losses. With an empty target its model is uniform. Empty tables give empty results;
+    other columns don't matter.
     """
-    marks = target.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("_key")).distinct().withColumn("_target", F.lit(True))
-    marked = docs.drop("_target").join(base.small(marks), F.col(f"`{key}`") == F.col("_key"), "left").drop("_key")
-    models = train(marked, text=text, target="_target", **options)
-    return score(docs, models, text=text)
+    marks = target.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("_key")).distinct().withColumn("target", F.lit(True))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, min(-(-size // PART[0]), MOST_PARTS), -(-size // PART[1]))
+    marked = rows.join(base.small(marks), F.col("key") == F.col("_key"), "left").select("key", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    counted = base.save(_counted(marked, parts, batch_bytes), "counted")
+    summed = base.save(_summed(counted, parts), "summed")
+    vocabulary, *total = (x or 0 for x in summed.agg(F.sum("vocabulary"), F.sum("b"), F.sum("t")).first())
+    return _scored(counted, summed, parts, np.array(total, float), vocabulary, prior).withColumnRenamed("key", key)

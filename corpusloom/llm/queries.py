@@ -17,7 +17,7 @@ SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = table(spark, sf_dir, "labels").where("quality = 1")
-    scored = lmscore.cross_entropy_difference(table(spark, sf_dir, "documents").select("doc_id", "text"), target)
+    scored = lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
     return scored.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
@@ -96,22 +96,14 @@ docs AS (
   SELECT row_number() OVER () AS r, d.doc_id, regexp_extract_all({LOWER}, '{ALNUM_WORD}') AS w, (a.doc_id IS NOT NULL)::INT AS y
   FROM documents d LEFT JOIN aim a ON d.doc_id = a.doc_id),
 tokens AS (SELECT r, y, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
-total AS (SELECT CAST(count(*) AS DOUBLE) AS b, CAST(coalesce(sum(y), 0) AS DOUBLE) AS t FROM tokens),
-unigrams AS (SELECT word, CAST(count(*) AS DOUBLE) AS b, CAST(sum(y) AS DOUBLE) AS t FROM tokens GROUP BY word),
-vocabulary AS (
-  SELECT u.* FROM unigrams u, total n WHERE u.b >= greatest(1, ceil(n.b * 2e-6::DOUBLE)) OR u.t >= greatest(1, ceil(n.t * 2e-6::DOUBLE))),
-known AS (
-  SELECT word, b, t FROM vocabulary
-  UNION ALL SELECT '<other>', n.b - coalesce(sum(v.b), 0), n.t - coalesce(sum(v.t), 0) FROM total n LEFT JOIN vocabulary v ON true GROUP BY n.b, n.t),
-smooth AS (SELECT word, (k.b + 1) / (n.b + m) AS b, (k.t + 1) / (n.t + m) AS t FROM known k, total n, (SELECT count(*) AS m FROM known)),
-mapped AS (SELECT r, y, i, coalesce(v.word, '<other>') AS word FROM tokens LEFT JOIN vocabulary v USING (word)),
-steps AS (SELECT r, y, word, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), '<begin>') AS before FROM mapped),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS b, CAST(coalesce(sum(y), 0) AS DOUBLE) AS t, CAST(count(DISTINCT word) AS DOUBLE) AS m FROM tokens),
+smooth AS (SELECT word, (count(*) + 1) / (any_value(n.b) + any_value(n.m) + 1) AS b, (sum(y) + 1) / (any_value(n.t) + any_value(n.m) + 1) AS t FROM tokens, total n GROUP BY word),
+steps AS (SELECT r, y, word, coalesce(lag(word) OVER (PARTITION BY r ORDER BY i), '<begin>') AS before FROM tokens),
 bigrams AS (SELECT before, word, CAST(count(*) AS DOUBLE) AS b, CAST(sum(y) AS DOUBLE) AS t FROM steps GROUP BY 1, 2),
 histories AS (SELECT before, sum(b) AS b, sum(t) AS t FROM bigrams GROUP BY before),
-pairs AS (SELECT p.* FROM bigrams p, total n WHERE p.b >= greatest(1, ceil(n.b * 1e-6::DOUBLE)) OR p.t >= greatest(1, ceil(n.t * 1e-6::DOUBLE))),
 losses AS (
-  SELECT g.before, g.word, -ln((coalesce(p.b, 0) + 50 * s.b) / (h.b + 50)) AS b, -ln((coalesce(p.t, 0) + 50 * s.t) / (h.t + 50)) AS t
-  FROM bigrams g JOIN histories h USING (before) JOIN smooth s ON s.word = g.word LEFT JOIN pairs p ON p.before = g.before AND p.word = g.word),
+  SELECT g.before, g.word, -ln((g.b + 50 * s.b) / (h.b + 50)) AS b, -ln((g.t + 50 * s.t) / (h.t + 50)) AS t
+  FROM bigrams g JOIN histories h USING (before) JOIN smooth s ON s.word = g.word),
 sums AS (SELECT r, sum(l.b) AS b, sum(l.t) AS t FROM steps JOIN losses l USING (before, word) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(t / len(w), 6) AS target_loss, round(b / len(w), 6) AS background_loss, round((t - b) / len(w), 6) AS score
 FROM docs LEFT JOIN sums USING (r)""",

@@ -61,13 +61,25 @@ def test_scores_against_brute_force(spark):
             assert got[i]["score"] is None
 
 
-def test_rare_words_are_one(spark):
-    df = spark.createDataFrame([(i, "common words here" if i else "common oddity here") for i in range(40)], "doc_id long, text string").withColumn("target", F.lit(True))
-    models = lmscore.train(df, word_share=0.1, pair_share=0.1)
-    assert len(models.words) == 3 and len(models.pairs) == 3
-    assert np.exp(-models.losses(*lmscore._hashes([b"common oddity"]))).max() <= 1
-    empty = lmscore.train(df.limit(0))
-    assert len(empty.words) == 0 and lmscore.score(df.limit(1), empty).first()["n_words"] == 3
+@pytest.mark.parametrize("batch_bytes", [1, 300, 1 << 24])
+def test_scores_do_not_depend_on_batches(spark, monkeypatch, batch_bytes):
+    monkeypatch.setattr(lmscore, "PART", (100, 64 << 20))
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["a", "b", "Ab", "\u00e9t\u00e9", "d9"], k=rng.randint(0, 30))) for _ in range(90)] + [None, ""]
+    target = [i for i in range(90) if i % 3 == 0]
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "id string, body string").repartition(3)
+    got = {r["id"]: r for r in lmscore.cross_entropy_difference(df, df.where(F.substring("id", 2, 9).cast("int") % 3 == 0), key="id", text="body", batch_bytes=batch_bytes).collect()}
+    assert len(got) == len(texts)
+    for i, (n, t, b) in enumerate(brute_scores(texts, target, lmscore.PRIOR)):
+        row = got[f"k{i}"]
+        assert row["n_words"] == n and (not n or (row["target_loss"], row["background_loss"]) == pytest.approx((t, b)))
+
+
+def test_scores_of_empty_tables(spark):
+    df = spark.createDataFrame([(1, "a b"), (None, "a c")], "doc_id long, text string")
+    assert lmscore.cross_entropy_difference(df.limit(0), df).count() == 0
+    rows = lmscore.cross_entropy_difference(df, df.limit(0)).collect()
+    assert len(rows) == 2 and all(r["target_loss"] == pytest.approx(math.log(4)) for r in rows)
 
 
 # --- toxicity -------------------------------------------------------------------------------------------------------------------------
