@@ -35,17 +35,68 @@ _ends = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in RAW}
 START = 0
 
 
+class Place:
+    """An open element: its parent, its block-level tag or the nearest above it, and those of its features that no ancestor has."""
+
+    __slots__ = ("parent", "tag", "inner", "fresh", "field", "score")
+
+    def __init__(self, parent: Place | None, tag: str, fresh: tuple[str, ...]):
+        self.parent, self.tag, self.fresh, self.field, self.score = parent, tag, fresh, None, 0.0
+        self.inner = tag if tag not in INLINE else parent.inner if parent else None
+
+
+class Open:
+    """The open elements of a page, outermost first; finds the nearest of a tag, and where inline elements begin, without going through them."""
+
+    def __init__(self):
+        self.places: list[Place] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # indexes of elements that aren't inline
+        self.walls: list[int] = []  # and are no paragraphs
+        self.features: set[str] = set()
+
+    def top(self) -> Place | None:
+        return self.places[-1] if self.places else None
+
+    def push(self, tag: str, own: list[str]) -> None:
+        fresh = tuple(dict.fromkeys(f for f in own if f not in self.features))
+        self.features.update(fresh)
+        k = len(self.places)
+        self.at.setdefault(tag, []).append(k)
+        if tag not in INLINE:
+            self.blocks.append(k)
+            if tag != "p":
+                self.walls.append(k)
+        self.places.append(Place(self.top(), tag, fresh))
+
+    def nearest(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def shut(self, k: int) -> int:
+        """Close all from ``k`` on; the number of links among them."""
+        links = 0
+        while len(self.places) > k:
+            place = self.places.pop()
+            self.at[place.tag].pop()
+            self.features.difference_update(place.fresh)
+            links += place.tag == "a"
+        for indexes in (self.blocks, self.walls):
+            while indexes and indexes[-1] >= k:
+                indexes.pop()
+        return links
+
+
 class Block:
-    __slots__ = ("parts", "path", "linked")
+    __slots__ = ("parts", "place", "linked")
 
-    def __init__(self, path):
-        self.parts, self.path, self.linked = [], path, 0
+    def __init__(self, place):
+        self.parts, self.place, self.linked = [], place, 0
 
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, ancestor features, share of linked characters) of each leaf block with text, in page order."""
-    out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def leaf_blocks(page: str) -> list[tuple[str, Place | None, float]]:
+    """(text, element it stands in, share of linked characters) of each leaf block with text, in page order; memory and time go with the page's length."""
+    out: list[tuple[str, Place | None, float]] = []
+    stack = Open()
     links, block = 0, None
     at, end, last = 0, len(page), page.rfind(">")
 
@@ -53,7 +104,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         nonlocal block
         if a < b:
             if block is None:
-                block = Block(stack[-1][1] if stack else ())
+                block = Block(stack.top())
             block.parts.append(page[a:b])
             if links:
                 block.linked += b - a
@@ -63,7 +114,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if block is not None:
             body = " ".join(entities.unescape("".join(block.parts)).split())
             if body:
-                out.append((body, block.path, min(1.0, block.linked / len(body))))
+                out.append((body, block.place, min(1.0, block.linked / len(body))))
             block = None
 
     while at < end:
@@ -93,13 +144,9 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if tag not in INLINE:
             close()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = stack.nearest((tag,))
+            if k >= 0 and (tag not in INLINE or not stack.blocks or k > stack.blocks[-1]):
+                links -= stack.shut(k)
             continue
         if tag in RAW:
             found = _ends[tag].search(page, at)
@@ -107,29 +154,31 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             continue
         if tag in VOID:
             continue
-        shut = CLOSES.get(tag)
-        if shut is not None:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shut.split():
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE and stack[k][0] != "p":
-                    break
+        if tag in CLOSES:
+            k = stack.nearest(CLOSES[tag].split())
+            if k >= 0 and (not stack.walls or k >= stack.walls[-1]):
+                links -= stack.shut(k)
         own = ["<" + tag]
         if m[3]:
             for a, b, c in NAMED.findall(m[3]):
                 own += ["." + w for w in PART.findall((a or b or c).lower())]
-        stack.append((tag, (stack[-1][1] if stack else ()) + tuple(own)))
+        stack.push(tag, own)
         links += tag == "a"
     close()
     return out
 
 
-def path_features(path: tuple[str, ...]) -> frozenset[str]:
-    """Ancestor tags and names, the innermost block tag, and pairs of the outermost sectioning tag with names below it."""
-    tags = [p for p in path if p[0] == "<" and p[1:] not in INLINE]
-    return frozenset(path) | ({"in " + tags[-1]} if tags else {"bare"})
+def _nearest_block(place: Place | None) -> str:
+    return "in <" + place.inner if place and place.inner else "bare"
+
+
+def place_features(place: Place | None) -> set[str]:
+    """Tags and names of an element and its ancestors, and the nearest block-level tag."""
+    out = {_nearest_block(place)}
+    while place is not None:
+        out.update(place.fresh)
+        place = place.parent
+    return out
 
 
 def shape_features(text: str, linked: float) -> tuple[str, ...]:
@@ -148,16 +197,22 @@ class Field:
 
     def __init__(self, weights: dict[str, float], moves: np.ndarray):
         self.weights, self.moves = weights, moves
-        self.paths: dict[tuple[str, ...], float] = {}
 
-    def favour(self, block: tuple[str, tuple[str, ...], float]) -> float:
-        body, path, linked = block
-        known = self.paths.get(path)
-        if known is None:
-            known = sum(self.weights.get(f, 0.0) for f in path_features(path))
-            if len(self.paths) < 100_000:
-                self.paths[path] = known
-        return known + sum(self.weights.get(f, 0.0) for f in shape_features(body, linked))
+    def _favour_of(self, place: Place | None) -> float:
+        """The sum over an element's and its ancestors' features, each element adding to its parent's sum."""
+        above = []
+        while place is not None and place.field is not self:
+            above.append(place)
+            place = place.parent
+        total = place.score if place else 0.0
+        for p in reversed(above):
+            total += sum(self.weights.get(f, 0.0) for f in p.fresh)
+            p.field, p.score = self, total
+        return total
+
+    def favour(self, block: tuple[str, Place | None, float]) -> float:
+        body, place, linked = block
+        return self._favour_of(place) + self.weights.get(_nearest_block(place), 0.0) + sum(self.weights.get(f, 0.0) for f in shape_features(body, linked))
 
     def decode(self, blocks: list) -> list[int]:
         """The likeliest labels of a page's blocks (Viterbi)."""
@@ -186,7 +241,7 @@ def fit(pages: list[tuple[list, list[int]]], epochs: int = 15, rate: float = 0.5
     data = []
     for blocks, labels in pages:
         if blocks:
-            data.append(([np.array([names.setdefault(f, len(names)) for f in sorted({*path_features(b[1]), *shape_features(b[0], b[2])})]) for b in blocks], np.array(labels)))
+            data.append(([np.array([names.setdefault(f, len(names)) for f in sorted({*place_features(b[1]), *shape_features(b[0], b[2])})]) for b in blocks], np.array(labels)))
     w, g2 = np.zeros(len(names)), np.full(len(names), 1e-6)
     moves, m2 = np.zeros((2, 2)), np.full((2, 2), 1e-6)
     order = random.Random(7)

@@ -128,6 +128,20 @@ def test_long_pages_stay_whole():
     assert text("<article><p>" + "<" * 50_000).count("<") == 50_000
 
 
+def test_nested_pages_take_memory_and_time_by_length():
+    import time
+    import tracemalloc
+
+    pages = ["<div class='a b'>" * 60_000 + "<p>Deep text.", "<article>" + "<b><i>" * 100_000 + "x" + "</u></section>" * 50_000, "<li><b>" * 100_000 + "<li>y"]
+    for page in pages:
+        tracemalloc.start()
+        began = time.perf_counter()
+        blocks = htmltext.leaf_blocks(page)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert blocks and htmltext.default_field().decode(blocks) and peak < 300e6 and time.perf_counter() - began < 60
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, None), (1, "u", PAGE, "old")], "page_id long, url string, html string, text string")
     got = sorted(((r["page_id"], r["text"], r["n_chars"]) for r in htmltext.extract(df).collect()), key=str)
