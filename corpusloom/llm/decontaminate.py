@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,46 +9,89 @@ from pyspark.sql import types as T
 
 from corpusloom.llm import base, kernel
 
-#: Bytes of benchmark text whose windows are broadcast at once; a larger benchmark is scanned for in blocks of this size.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text whose windows are broadcast at once, about six times as many in an index; a larger benchmark is scanned for in blocks of this size.
+BLOCK_BYTES = 8 << 20
 #: Blocks that one plan scans for before its rows are written.
 BLOCKS_AT_ONCE = 4
 
 RANGE = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
 
 
+def _packed(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes, lower-cased, a space after each, and where each begins: a run of words is one slice of them."""
+    size = w.end - w.start
+    begin = np.append(0, np.cumsum(size + 1))
+    out = np.full(begin[-1], 32, np.uint8)
+    at = np.ones(int(size.sum()), np.int64)
+    if len(size):
+        at[0] = w.start[0]
+        at[np.cumsum(size)[:-1]] = w.start[1:] - w.end[:-1] + 1
+        at = np.cumsum(at)
+    inside = np.ones(len(out), bool)
+    inside[begin[1:] - 1] = False
+    out[inside] = w.codes[at] - 1
+    return out, begin
+
+
+def _same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Which slices of ``size`` bytes at ``at`` in ``a`` and at ``bt`` in ``b`` are equal."""
+    out = np.empty(len(at), bool)
+    upto = np.append(0, np.cumsum(size))
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + most, side="right")) - 1)
+        step = np.arange(upto[j] - upto[i]) - np.repeat(upto[i:j] - upto[i], size[i:j])
+        differs = a[np.repeat(at[i:j], size[i:j]) + step] != b[np.repeat(bt[i:j], size[i:j]) + step]
+        out[i:j] = np.add.reduceat(differs, upto[i:j] - upto[i], dtype=np.int64) == 0
+        i = j
+    return out
+
+
 class WindowSet:
-    """Windows of ``n`` words (an item of fewer words is one window), by length and hash, with the items that hold them."""
+    """Windows of ``n`` words (an item of fewer words is one window), by length and hash, with the items that hold them.
+
+    Windows are slices of one buffer, the items' words. Two windows of one hash are in layers of their own.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
-        found: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item, text in items:
-            w = kernel.Words([text], kernel.ALNUM)
-            raw = (w.codes - 1).astype(np.uint8)
-            words = [raw[s:e].tobytes() for s, e in zip(w.start, w.end, strict=True)]
-            for i in range(max(1, len(words) - n + 1) if words else 0):
-                found[tuple(words[i : i + n])].add(item)
-        layers: dict[tuple[int, int], dict[int, tuple[bytes, ...]]] = defaultdict(dict)
-        for window in found:
-            h = kernel.hash_words(list(window))
-            layer = 0
-            while h in layers[len(window), layer]:  # two windows of one hash: the second goes to a layer of its own
-                layer += 1
-            layers[len(window), layer][h] = window
-        self.layers = []
-        for (size, _), windows in sorted(layers.items()):
-            if windows:
-                keys = np.array(sorted(windows), np.uint64)
-                self.layers.append((size, keys, [(windows[int(k)], sorted(found[windows[int(k)]])) for k in keys]))
-
-    def scan(self, w: kernel.Words) -> list[tuple[list[list[int]], set[str]]]:
-        """For each text: the word ranges [first, last] that windows cover, merged, and the items."""
+        items = sorted(items, key=lambda x: x[0].encode())
+        self.items = list(dict.fromkeys(x[0] for x in items))
+        number = {x: i for i, x in enumerate(self.items)}
+        data, found, size_so_far = [np.empty(0, np.uint8)], {}, 0
+        for first, texts in kernel.chunks([x[1] for x in items]):
+            w = kernel.Words(texts, kernel.ALNUM)
+            packed, begin = _packed(w)
+            hashes, item = w.hashes(), np.array([number[x[0]] for x in items[first : first + len(texts)]], np.int32)
+            for size in {n, *w.count[(w.count > 0) & (w.count < n)].tolist()}:
+                at, h = w.runs(size, hashes)
+                if size < n:
+                    whole = w.count[w.doc[at]] == size
+                    at, h = at[whole], h[whole]
+                found.setdefault(size, []).append((h, begin[at] + size_so_far, (begin[at + size] - begin[at]).astype(np.int32), item[w.doc[at]]))
+            data.append(packed)
+            size_so_far += len(packed)
+        self.data, self.layers = np.concatenate(data), []
+        for size in sorted(found):
+            h, start, span, item = (np.concatenate(x) for x in zip(*found.pop(size), strict=True))
+            while len(h):
+                order = np.argsort(h, kind="stable")
+                h, start, span, item = h[order], start[order], span[order], item[order]
+                first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                key = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+                lead = first[key]
+                same = span == span[lead]
+                same[same] = _same(self.data, start[lead[same]], self.data, start[same], span[same])
+                window, owner = np.divmod(np.unique(key[same] * np.int64(len(self.items)) + item[same]), len(self.items))
+                edge = np.searchsorted(window, np.arange(len(first) + 1))
+                self.layers.append((size, h[first], start[first], span[first], edge, owner.astype(np.int32)))
+                h, start, span, item = h[~same], start[~same], span[~same], item[~same]
+
+    def scan(self, w: kernel.Words) -> list[tuple[list[list[int]], list[str]]]:
+        """For each text: the word ranges [first, last] that windows cover, merged, and the items in order."""
         hashes = w.hashes()
         cover = np.zeros(len(hashes) + 1, np.int32)
-        items: list[set[str]] = [set() for _ in w.texts]
-        raw = (w.codes - 1).astype(np.uint8)
-        any_hit = False
-        for size, keys, windows in self.layers:
+        owned, packed = [], None
+        for size, keys, start, span, edge, owner in self.layers:
             at, h = w.runs(size, hashes)
             if not len(at):
                 continue
@@ -59,19 +100,22 @@ class WindowSet:
             at, place = at[same], place[same]
             if not len(at):
                 continue
-            order = np.argsort(place, kind="stable")
-            at, place = at[order], place[order]
-            for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(place)) + 1):
-                words, owners = windows[place[group[0]]]
-                where = _equal(w, raw, at[group], words)
-                if len(where):
-                    any_hit = True
-                    np.add.at(cover, where, 1)
-                    np.add.at(cover, where + size, -1)
-                    for d in np.unique(w.doc[where]):
-                        items[d].update(owners)
-        out: list[tuple[list[list[int]], set[str]]] = [([], s) for s in items]
-        if any_hit:
+            packed = packed or _packed(w)
+            data, begin = packed
+            same = begin[at + size] - begin[at] == span[place]
+            at, place = at[same], place[same]
+            same = _same(data, begin[at], self.data, start[place], span[place])
+            at, place = at[same], place[same]
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + size, -1)
+            doc, window = np.divmod(np.unique(w.doc[at] * np.int64(len(keys)) + place), len(keys))
+            each = edge[window + 1] - edge[window]
+            upto = np.cumsum(each) - each
+            owned.append(np.repeat(doc, each) * np.int64(len(self.items)) + owner[np.repeat(edge[window] - upto, each) + np.arange(each.sum())])
+        out: list[tuple[list[list[int]], list[str]]] = [([], []) for _ in w.texts]
+        if owned:
+            for d, i in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(owned)), len(self.items))), strict=True):
+                out[d][1].append(self.items[i])
             inside = np.cumsum(cover[:-1]) > 0
             fresh = inside & (~np.roll(inside, 1) | (np.arange(len(inside)) == 0) | (np.append(-1, w.doc[:-1]) != w.doc))
             starts = np.flatnonzero(fresh)
@@ -83,18 +127,6 @@ class WindowSet:
         return out
 
 
-def _equal(w: kernel.Words, raw: np.ndarray, at: np.ndarray, words: tuple[bytes, ...]) -> np.ndarray:
-    """Those of ``at`` where the words are really these."""
-    for k, word in enumerate(words):
-        at = at[w.end[at + k] - w.start[at + k] == len(word)]
-        if len(at):
-            got = raw[w.start[at + k][:, None] + np.arange(len(word))]
-            at = at[(got == np.frombuffer(word, np.uint8)).all(axis=1)]
-        if not len(at):
-            break
-    return at
-
-
 def merge_ranges(ranges: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(ranges):
@@ -126,7 +158,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_ranges", RANGE), T.StructField("item_ids", T.ArrayType(T.StringType()))]
     for b in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast(WindowSet([(r["item"], r["t"].encode()) for r in part.collect()], n))
+        got = part.toArrow()
+        shared = spark.sparkContext.broadcast(WindowSet(list(zip(got.column("item").to_pylist(), kernel.as_bytes(got.column("t")), strict=True)), n))
         last = cut and b + 1 == blocks
         docs = base.append_columns(docs, [*fields, *([T.StructField(text, T.StringType())] if last else [])], _scanner(shared, text, merge=b > 0, cut=last))
         if b % BLOCKS_AT_ONCE == BLOCKS_AT_ONCE - 1 and b + 1 < blocks:
@@ -160,13 +193,13 @@ def _scanner(shared, text: str, merge: bool, cut: bool = False):
                 for k, (r, s) in enumerate(windows.scan(w)):
                     if merge:
                         r = merge_ranges(r + [[x["first"], x["last"]] for x in before[at + k][0]])
-                        s.update(before[at + k][1])
+                        s = sorted({*s, *before[at + k][1]}, key=str.encode)
                     ranges.append(r)
                     items.append(s)
                     if cut:
                         kept.append(_without(w, k, r) if batch.column(text)[at + k].is_valid else None)
             structs = [[{"first": a, "last": z} for a, z in r] for r in ranges]
-            return [pa.array(counts, kinds[0]), pa.array(structs, kinds[1]), pa.array([sorted(s, key=str.encode) for s in items], kinds[2]), *([pa.array(kept, pa.string())] if cut else [])]
+            return [pa.array(counts, kinds[0]), pa.array(structs, kinds[1]), pa.array(items, kinds[2]), *([pa.array(kept, pa.string())] if cut else [])]
 
         return work
 

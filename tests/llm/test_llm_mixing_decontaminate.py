@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import decontaminate, mixing
@@ -107,3 +108,26 @@ def test_empty_tables(spark):
     r = decontaminate.find_contamination(docs, none).first()
     assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (2, 0, 0, False)
     assert decontaminate.find_contamination(docs.limit(0), none).count() == 0
+
+
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    from corpusloom.llm import kernel
+
+    monkeypatch.setattr(kernel, "mix", lambda h: h & np.uint64(3))  # four hashes for all windows
+    items = [("b", b"one two three four"), ("a", b"two three four five six"), ("c", b"three four"), ("b", b"nine one two three")]
+    w = kernel.Words([b"zero one two three four five", b"three four", b"six five", b""], kernel.ALNUM)
+    got = decontaminate.WindowSet(items, 3).scan(w)
+    assert got == [([[1, 5]], ["a", "b", "c"]), ([[0, 1]], ["c"]), ([], []), ([], [])]
+
+
+def test_index_of_a_large_benchmark_is_bounded():
+    import resource
+    import time
+
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(3000)])
+    items = [(str(k), " ".join(rng.choice(words, 400)).encode()) for k in range(1600)]
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.perf_counter()
+    index = decontaminate.WindowSet(items, 13)
+    assert sum(len(x[1]) for x in index.layers) > 600_000
+    assert time.perf_counter() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
