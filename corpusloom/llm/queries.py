@@ -118,11 +118,16 @@ led AS (
   FROM weighed WINDOW o AS (ORDER BY source_size / weight, source ASC NULLS LAST)),
 shared AS (SELECT level AS share FROM led WHERE level * weight <= 3.0::DOUBLE * source_size ORDER BY source_size / weight, source ASC NULLS LAST LIMIT 1),
 targets AS (SELECT source, source_size, least(3.0::DOUBLE * source_size, share * weight) AS target FROM led LEFT JOIN shared ON true),
-rated AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-    CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rated""",
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM targets),
+drawn AS (
+  SELECT *, CAST(floor(CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0::DOUBLE * 4096) AS INT) AS cell FROM sized),
+cells AS (SELECT source, cell, CAST(sum(size) AS BIGINT) AS words FROM drawn GROUP BY source, cell),
+ends AS (
+  SELECT r.source, c.cell + 1 AS cut, (r.rate - floor(r.rate)) * r.source_size AS wanted, abs(sum(words) OVER (PARTITION BY c.source ORDER BY cell) - (r.rate - floor(r.rate)) * r.source_size) AS off
+  FROM cells c JOIN rates r ON c.source IS NOT DISTINCT FROM r.source),
+cuts AS (SELECT source, CASE WHEN off < wanted THEN cut ELSE 0 END AS cut FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off, cut) AS place FROM ends) WHERE place = 1)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN cell < coalesce(cut, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM drawn d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source""",
     "op3_decontamination": rf"""
 WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{ALNUM_WORD}') AS w FROM documents),
 bw AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({LOWER}, '{ALNUM_WORD}') AS w FROM benchmark),
