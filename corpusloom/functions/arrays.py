@@ -188,11 +188,10 @@ def windows(values: Column, size: int, hop: int) -> Column:
 
 
 def partial_windows(frames: Column, size: int, step: int, coverage: float = 0.8) -> Column:
-    """First frames of windows; a last one that frames cover too little goes, unless it is the only one."""
-    n = F.ceil(F.greatest(frames - size + step, F.lit(0)) / step + F.lit(0)).cast("int")
-    count = F.greatest(n, F.lit(1))
-    covered = (frames - (count - 1) * step) / size
-    count = F.when((covered < coverage) & (count > 1), count - 1).otherwise(count)
+    """First frames of windows: the whole ones, and one more if the frames that are left over would cover enough of it, or if there is no other."""
+    room = F.greatest(frames - size + step, F.lit(0)).cast("int")
+    whole, left = F.floor(room / step).cast("int"), F.pmod(room, F.lit(step))
+    count = whole + F.when((whole == 0) | ((left + (size - step)) / size >= coverage), 1).otherwise(0)
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * step)
 
 

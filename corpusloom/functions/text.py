@@ -99,11 +99,10 @@ def rebase(path: Column, root: str) -> Column:
 
 
 def archive_member(path: Column, ending: str = "_trim", extension: str = ".mp3") -> tuple[Column, Column]:
-    """(archive, member) from an absolute path: the first segment that ends so, and the path from it on; null for other files."""
-    pattern = rf"(?:^|/)([^/]*{ending})/(.+\{extension})$"
-    archive = F.nullif(F.regexp_extract(path, pattern, 1), F.lit(""))
-    rest = F.nullif(F.regexp_extract(path, pattern, 2), F.lit(""))
-    return F.concat(archive, F.lit(".zip")), F.concat(archive, F.lit("/"), rest)
+    """(archive, member) of an audio path's tokens: the first folder that ends so names the archive, what is below it the member; null for other files."""
+    pattern = rf"^(?:[^/]*/)*?([^/]*{ending})/(.*)\{extension}$"
+    top = F.concat(F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")), F.lit("_neucodec"))
+    return F.concat(top, F.lit(".zip")), F.concat(top, F.lit("/"), F.regexp_extract(path, pattern, 2), F.lit(".json"))
 
 
 def name_and_split(stem: Column) -> tuple[Column, Column]:
@@ -195,7 +194,7 @@ HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2EBEF}
 CYRILLIC = r"\x{0400}-\x{04FF}"
 ARABIC = r"\x{0600}-\x{06FF}"
 #: Scripts that write without spaces.
-UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+UNSPACED = r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}"
 #: Characters that are words of their own.
 SINGLE = r"\x{1100}-\x{11FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{20000}-\x{2A6DF}"
 
@@ -233,7 +232,7 @@ def mixed_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(rf"(?U)[{SINGLE}]|[^\s\x{{1C}}-\x{{1F}}\x{{85}}{SINGLE}]+"), F.lit(0))
 
 
-#: Character types by code points, in the order that ties are broken (fixed values).
+#: Character types by code points (fixed values).
 CHARACTER_TYPES = {
     "arabic": r"\x{0600}-\x{06FF}\x{0750}-\x{077F}",
     "chinese": r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2A6DF}",
@@ -247,8 +246,9 @@ HANGUL = r"\x{1100}-\x{11FF}\x{AC00}-\x{D7AF}"
 
 
 def character_type(c: Column) -> Column:
-    """The commonest type of a text's characters; any kana makes it Japanese, else any Hangul Korean; ties go to the first name, none is "other"."""
-    counted = F.array(*[F.struct((-F.regexp_count(c, F.lit(f"[{r}]"))).alias("n"), F.lit(name).alias("name")) for name, r in CHARACTER_TYPES.items()])
+    """The commonest type of a text's characters; any kana makes it Japanese, else any Hangul Korean; of equals the one met first, ideographs last, none is "other"."""
+    first = lambda name, r: F.lit(2**31 - 1) if name == "chinese" else F.regexp_instr(c, F.lit(f"[{r}]"))
+    counted = F.array(*[F.struct((-F.regexp_count(c, F.lit(f"[{r}]"))).alias("n"), first(name, r).alias("at"), F.lit(name).alias("name")) for name, r in CHARACTER_TYPES.items()])
     top = F.array_min(counted)
     return F.when(has_any(c, KANA), "japanese").when(has_any(c, HANGUL), "korean").when(top["n"] < 0, top["name"]).otherwise("other")
 

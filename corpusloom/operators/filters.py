@@ -126,10 +126,10 @@ def token_funnel(tokens: Column, body: Column, seconds: Column, least: int = 50,
 
 
 def tag_filter(df: DataFrame, body: str, drop: tuple[str, ...] = ("burping",)) -> DataFrame:
-    """Dropped families' tags are cut out of the text; ``families`` has those left, ``no_tag_left`` marks rows without."""
+    """Dropped families' tags are cut out of the text, the words they stood before stay as plain speech; ``families`` has those left, ``no_tag_left`` marks rows without."""
     cut = F.col(body)
     for family in drop:
-        cut = F.regexp_replace(cut, rf"<\|sfx:{family}\|>\S*\s*", "")
+        cut = F.replace(cut, F.lit(f"<|sfx:{family}|>"), F.lit(""))
     out = df.withColumn(body, text.fold_space(cut))
     return out.withColumn("families", F.array_sort(F.array_distinct(text.tags(F.col(body))))).withColumn("no_tag_left", F.size("families") == 0)
 

@@ -48,12 +48,12 @@ def conversion_prompt(voice_text: Column, voice_tokens: Column, text: Column, to
     return F.concat(head, F.lit("<|im_start|>"), text, F.lit("<|speech_start|>"), speech(F.slice(tokens, 1, seed)))
 
 
-def expressive_documents(df: DataFrame, text: str, description: str, category: str, tokens: str) -> DataFrame:
-    """Four prompts of each row: spoken from either description, and described as either."""
-    end, start = F.lit("<|im_end|>"), F.lit("<|im_start|>")
-    say = lambda d: F.concat(start, d, F.lit(": "), F.col(text), F.lit("<|speech_start|>"), speech(F.col(tokens)), end)
-    tell = lambda mark, d: F.concat(start, F.lit("<|speech_start|>"), speech(F.col(tokens)), F.lit(mark), d, end)
-    prompts = [say(F.col(description)), say(F.col(category)), tell("<|description|>", F.col(description)), tell("<|category|>", F.col(category))]
+def expressive_documents(df: DataFrame, speaker: str, text: str, description: str, category: str, tokens: str) -> DataFrame:
+    """Four prompts of each row: the speaker's text in the manner of either description, and the speech described as either."""
+    said, voiced = F.concat(F.col(speaker), F.lit(": "), F.col(text)), speech(F.col(tokens))
+    turn = lambda *parts: F.concat(F.lit("<|im_start|>"), *parts, F.lit("<|im_end|>"))
+    say = lambda d: turn(said, F.lit("<|description|>"), F.col(d), F.lit("<|speech_start|>"), voiced)
+    prompts = [say(description), say(category), turn(voiced, F.lit("<|description|>"), F.col(description)), turn(voiced, F.lit("<|description_category|>"), F.col(category))]
     return df.select("*", F.posexplode(F.array(*prompts)).alias("task", "document"))
 
 

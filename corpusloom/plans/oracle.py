@@ -3,6 +3,9 @@
 #: Words that ASCII white space parts; a text in lower case with its white space folded.
 WORDS = r"regexp_extract_all({}, '[^ \t\n\x0B\f\r]+')"
 N_WORDS = f"CAST(len({WORDS.format('text')}) AS BIGINT)"
+#: White space as Unicode has it, for a class of characters; words by it.
+BLANK = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+UNICODE_WORDS = f"regexp_extract_all(text, '[^{BLANK}]+')"
 FOLD = r"trim(regexp_replace(lower({}), '[ \t\n\x0B\f\r]+', ' ', 'g'))"
 #: Events as frames.
 FRAMES = "f AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS frame FROM events)"
@@ -27,8 +30,8 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL""",
 WITH r AS (SELECT source, CASE WHEN n_chars < 200 THEN 'short' WHEN {N_WORDS} > ceil(n_chars / 4) THEN 'wordy' ELSE 'kept' END AS reason FROM documents)
 SELECT source, count(*) FILTER (reason = 'kept') AS kept, count(*) FILTER (reason = 'short') AS short, count(*) FILTER (reason = 'wordy') AS wordy FROM r GROUP BY source""",
     "reject_anti_join": "SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 OR toxic = 1)",
-    "enough_text_by_lang": f"""
-SELECT lang, count(*) FILTER (length(text) >= 40 AND ({N_WORDS} >= 5 OR len(regexp_extract_all(text, '[㐀-䶿一-鿿]')) >= 0.5 * length(text))) AS enough, count(*) AS n
+    "enough_text_by_lang": rf"""
+SELECT lang, count(*) FILTER (length(text) >= 40 AND (len({UNICODE_WORDS}) >= 5 OR len(regexp_extract_all(text, '[\x{{0E00}}-\x{{0FFF}}\x{{1000}}-\x{{109F}}\x{{1780}}-\x{{17FF}}\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}]')) >= 0.5 * length(text))) AS enough, count(*) AS n
 FROM documents GROUP BY lang""",
     "ngram_repetition": f"""
 WITH w AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
@@ -36,11 +39,11 @@ g AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id,
 c AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS INT) AS most_repeated FROM documents LEFT JOIN c USING (doc_id)""",
     "accept_text": rf"""
-WITH w AS (SELECT doc_id, text, {WORDS.format("text")} AS w FROM documents),
+WITH w AS (SELECT doc_id, text, {UNICODE_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 c AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY doc_id)
-SELECT doc_id, len(w) >= 20 AND coalesce(n, 0) <= 3 AND text NOT LIKE '%**%'
-  AND NOT regexp_matches(text, '[\x{{FFFD}}\x{{2018}}\x{{201A}}\x{{201E}}\x{{20AC}}\x{{0400}}-\x{{04FF}}\x{{0600}}-\x{{06FF}}]') AS accepted,
+SELECT doc_id, len(w) >= 20 AND coalesce(n, 0) <= 3 AND NOT contains(text, '**')
+  AND NOT regexp_matches(text, '[\x{{FFFD}}\x{{2018}}\x{{201A}}\x{{201E}}\x{{20AC}}\x{{0400}}-\x{{04FF}}\x{{0600}}-\x{{06FF}}\x{{0900}}-\x{{0D7F}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{20000}}-\x{{2A6DF}}\x{{2A700}}-\x{{2EBEF}}]') AS accepted,
   length(text) BETWEEN 600 AND 1300 AS fits, len(regexp_extract_all(text, '\n')) BETWEEN 5 AND 15 AS lines_fit
 FROM w LEFT JOIN c USING (doc_id)""",
     "publish_invariants": "SELECT count(*) AS n, count(*) FILTER (trim(coalesce(text, '')) = '') AS empty_text, count(*) - count(DISTINCT doc_id) AS repeated_key FROM documents",
@@ -61,26 +64,28 @@ SELECT origin, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM (
   SELECT 'documents' AS origin, length(text) AS size FROM documents UNION ALL SELECT 'benchmark', length(text) FROM benchmark
   UNION ALL SELECT 'conversations', length(text) FROM conversations) GROUP BY origin""",
     "hard_negatives": "SELECT event_id, user_id, event_type FROM events WHERE value >= 40 AND value < 60",
-    "clean_markers": r"""
-WITH c AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]{0,20}>', ' ', 'g'), '\[[^\]]{0,20}\]', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS c FROM pages)
-SELECT page_id, CAST(length(c) AS BIGINT) AS n_chars, md5(c) AS md5, regexp_matches(c, '\p{L}') AS scoreable FROM c""",
+    "clean_markers": rf"""
+WITH c AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]{{0,20}}>', ' ', 'g'), '\[[^\]]{{0,20}}\]', ' ', 'g'), '[{BLANK}]+', ' ', 'g')) AS c FROM pages)
+SELECT page_id, CAST(length(c) AS BIGINT) AS n_chars, md5(c) AS md5, regexp_matches(c, '\p{{L}}') AS scoreable FROM c""",
     "script_flags": r"""
 WITH k AS (SELECT doc_id, text, [
-  {'n': -len(regexp_extract_all(text, '[\x{0600}-\x{06FF}\x{0750}-\x{077F}]')), 'k': 'arabic'},
-  {'n': -len(regexp_extract_all(text, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2A6DF}]')), 'k': 'chinese'},
-  {'n': -len(regexp_extract_all(text, '[\x{0400}-\x{04FF}]')), 'k': 'cyrillic'},
-  {'n': -len(regexp_extract_all(text, '[\x{0900}-\x{097F}]')), 'k': 'devanagari'},
-  {'n': -len(regexp_extract_all(text, '[\x{0021}-\x{007E}\x{00A1}-\x{00AC}\x{00AE}-\x{024F}]')), 'k': 'latin'},
-  {'n': -len(regexp_extract_all(text, '[\x{0B80}-\x{0BFF}]')), 'k': 'tamil'}] AS c FROM documents)
+  {'n': -len(regexp_extract_all(text, '[\x{0600}-\x{06FF}\x{0750}-\x{077F}]')), 'at': 1 + length(regexp_extract(text, '(?s)^[^\x{0600}-\x{06FF}\x{0750}-\x{077F}]*')), 'k': 'arabic'},
+  {'n': -len(regexp_extract_all(text, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2A6DF}]')), 'at': 2147483647, 'k': 'chinese'},
+  {'n': -len(regexp_extract_all(text, '[\x{0400}-\x{04FF}]')), 'at': 1 + length(regexp_extract(text, '(?s)^[^\x{0400}-\x{04FF}]*')), 'k': 'cyrillic'},
+  {'n': -len(regexp_extract_all(text, '[\x{0900}-\x{097F}]')), 'at': 1 + length(regexp_extract(text, '(?s)^[^\x{0900}-\x{097F}]*')), 'k': 'devanagari'},
+  {'n': -len(regexp_extract_all(text, '[\x{0021}-\x{007E}\x{00A1}-\x{00AC}\x{00AE}-\x{024F}]')), 'at': 1 + length(regexp_extract(text, '(?s)^[^\x{0021}-\x{007E}\x{00A1}-\x{00AC}\x{00AE}-\x{024F}]*')), 'k': 'latin'},
+  {'n': -len(regexp_extract_all(text, '[\x{0B80}-\x{0BFF}]')), 'at': 1 + length(regexp_extract(text, '(?s)^[^\x{0B80}-\x{0BFF}]*')), 'k': 'tamil'}] AS c FROM documents)
 SELECT doc_id, regexp_matches(text, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2EBEF}]') AS han, regexp_matches(text, '[\x{0400}-\x{04FF}]') AS cyrillic,
   regexp_matches(text, '[\x{0600}-\x{06FF}]') AS arabic, regexp_matches(text, '[\x{0900}-\x{0D7F}]') AS indic,
   CASE WHEN regexp_matches(text, '[\x{3040}-\x{30FF}]') THEN 'japanese' WHEN regexp_matches(text, '[\x{1100}-\x{11FF}\x{AC00}-\x{D7AF}]') THEN 'korean'
     WHEN list_min(c).n < 0 THEN list_min(c).k ELSE 'other' END AS kind
 FROM k""",
-    "tidy_text": r"""
-WITH a AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '!+', '!', 'g'), '\?+', '?', 'g'), ',+', ',', 'g') AS c FROM conversations),
-b AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(c, '[ \t\n\x0B\f\r]+([,.;:!?])', '\1', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS c FROM a)
-SELECT conv_id, turn, md5(c) AS md5, CAST(length(c) AS BIGINT) AS n_chars FROM b""",
+    "tidy_text": rf"""
+WITH t AS (SELECT conv_id, turn, regexp_replace(text, '(\p{{Nd}})[{BLANK}]*-[{BLANK}]*(\p{{Nd}})', '\1-\2', 'g') AS c FROM conversations),
+f AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(c, '[{BLANK}]+([,.;:!?。，、！？；：])', '\1', 'g'), '[{BLANK}]+', ' ', 'g')) AS c FROM t),
+m AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '!+', '!', 'g'), '\?+', '?', 'g'), ',+', ',', 'g'), '。+', '。', 'g') AS c FROM f),
+d AS (SELECT conv_id, turn, regexp_replace(regexp_replace(c, '(^|[^.])\.\.($|[^.])', '\1.\2', 'g'), '(^|[^.])\.\.($|[^.])', '\1.\2', 'g') AS c FROM m)
+SELECT conv_id, turn, md5(c) AS md5, CAST(length(c) AS BIGINT) AS n_chars FROM d""",
     "url_parse": r"""
 SELECT page_id, nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), '') AS scheme, nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '') AS host,
   nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '') AS path, nullif(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '') AS query,
@@ -93,11 +98,6 @@ FROM documents""",
     "json_props": """
 WITH k AS (SELECT event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)
 SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, min(k) AS least, max(k) AS most FROM k GROUP BY event_type""",
-    "cer_adjacent_turns": """
-WITH r AS (SELECT conv_id, turn, regexp_replace(substr(text, 1, 200), '[^ -~]', '', 'g') AS ref FROM conversations),
-p AS (SELECT *, lead(ref) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM r)
-SELECT conv_id, turn, round(CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) = 0 THEN 0.0 ELSE 1.0 END ELSE least(levenshtein(ref, hyp) / length(ref), 1.0) END, 6) AS cer
-FROM p WHERE hyp IS NOT NULL""",
     "tag_f1": """
 WITH t AS (SELECT conv_id, turn, CASE length(text) % 3 WHEN 0 THEN 'cough' WHEN 1 THEN 'sigh' ELSE 'laughter' END AS r, CASE length(text) % 4 WHEN 0 THEN 'cough' WHEN 1 THEN 'sigh' ELSE 'laughter' END AS h
   FROM conversations WHERE role = 'user'),
@@ -108,7 +108,7 @@ SELECT tag, tp, fp, fn, round_even(p, 4) AS precision, round_even(q, 4) AS recal
 WITH c AS (SELECT conv_id, count(*) AS n_turns, string_agg('<|im_start|>' || role || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS d FROM conversations GROUP BY conv_id)
 SELECT conv_id, n_turns, md5(d) AS md5, CAST(length(d) AS BIGINT) AS n_chars FROM c""",
     "speak_documents": """
-SELECT doc_id, md5('<|im_start|>' || source || ': ' || substr(text, 1, 100) || '<|speech_start|>' || array_to_string(list_transform(range(0, least(7, n_chars % 8) + 1), lambda i: '<|s_' || ((i * 31 + doc_id) % 65536) || '|>'), '') || '<|im_end|>') AS md5
+SELECT doc_id, md5('<|im_start|>' || source || ': ' || text || '<|speech_start|>' || array_to_string(list_transform(range(0, least(7, n_chars % 8) + 1), lambda i: '<|s_' || ((i * 31 + doc_id) % 65536) || '|>'), '') || '<|im_end|>') AS md5
 FROM documents""",
     "pack_documents": f"""
 WITH RECURSIVE d AS (SELECT source, doc_id // 10000 AS shard, doc_id, {N_WORDS} AS n, row_number() OVER (PARTITION BY source, doc_id // 10000 ORDER BY doc_id) AS r FROM documents),
@@ -303,21 +303,20 @@ SELECT place, '| ' || place || ' | ' || c_nationkey || ' |' AS line FROM r""",
 SELECT lang, count(*) FILTER (lang = 'en' AND (n_chars % 100) / 100 >= 0.90 AND (n_chars % 11) / 10 >= 0.50) AS trusted, count(*) AS n FROM documents GROUP BY lang""",
     "event_gate": """
 SELECT event_type, count(*) FILTER (value >= 30 AND value / 50 >= 0.8) AS kept, count(*) FILTER (value / 100 >= 0.55 AND value / 50 >= 0.1) AS verified, count(*) AS n FROM events GROUP BY event_type""",
-    "tag_families": """
-WITH c AS (SELECT conv_id, turn, CASE length(text) % 3 WHEN 0 THEN 'burping' WHEN 1 THEN 'sigh' ELSE 'cough' END AS f FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, CASE WHEN f = 'burping' THEN 'word' ELSE '<|sfx:' || f || '|>Xx word' END AS t, CASE WHEN f = 'burping' THEN '' ELSE f END AS families, f = 'burping' AS no_tag_left FROM c""",
-    "prompt_texts": r"""
-WITH a AS (SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 120), '[^ -~]', '', 'g')) AS t FROM conversations),
-b AS (SELECT conv_id, turn, t, trim(regexp_replace(upper(substr(t, 1, 1)) || substr(t, 2), ' +', ' ', 'g')) AS p FROM a),
-c AS (SELECT conv_id, turn, t, rtrim(replace(replace(replace(replace(replace(p, '...', ', '), ':', ','), ' - ', ', '), ';', ', '), ' ,', ',')) AS p FROM b)
-SELECT conv_id, turn, md5(CASE WHEN length(t) = 0 THEN 'You need to add some text for me to talk.' WHEN regexp_matches(p, '[.!?,-]$') THEN p ELSE p || '.' END) AS md5 FROM c""",
-    "mixed_words": r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '[㐀-䶿一-鿿]|[^ \t\n\x0B\f\r㐀-䶿一-鿿]+') AS w FROM documents)
+    "tag_families": rf"""
+WITH c AS (SELECT conv_id, turn, text, CASE length(text) % 3 WHEN 0 THEN 'burping' WHEN 1 THEN 'sigh' ELSE 'cough' END AS f FROM conversations WHERE role = 'user'),
+t AS (SELECT conv_id, turn, f, substr(text, 1, 20) || ' ' || CASE WHEN f = 'burping' THEN '' ELSE '<|sfx:' || f || '|>' END || substr(text, 21) AS t FROM c)
+SELECT conv_id, turn, md5(trim(regexp_replace(t, '[{BLANK}]+', ' ', 'g'))) AS md5, CASE WHEN f = 'burping' THEN '' ELSE f END AS families, f = 'burping' AS no_tag_left FROM t""",
+    "prompt_texts": rf"""
+WITH b AS (SELECT conv_id, turn, text AS t, trim(regexp_replace(upper(substr(text, 1, 1)) || substr(text, 2), '[{BLANK}]+', ' ', 'g')) AS p FROM conversations),
+c AS (SELECT conv_id, turn, t, replace(replace(replace(replace(replace(replace(p, '...', ', '), '…', ', '), ':', ','), ' - ', ', '), ';', ', '), '—', '-') AS p FROM b),
+d AS (SELECT conv_id, turn, t, rtrim(replace(replace(replace(replace(replace(replace(p, '–', '-'), ' ,', ','), '“', '"'), '”', '"'), '‘', ''''), '’', '''')) AS p FROM c)
+SELECT conv_id, turn, md5(CASE WHEN length(t) = 0 THEN 'You need to add some text for me to talk.' WHEN regexp_matches(p, '[.!?,、，。？！-]$') THEN p ELSE p || '.' END) AS md5 FROM d""",
+    "mixed_words": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[\x{{1100}}-\x{{11FF}}\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{AC00}}-\x{{D7AF}}\x{{20000}}-\x{{2A6DF}}]|[^{BLANK}\x{{1100}}-\x{{11FF}}\x{{3040}}-\x{{30FF}}\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{AC00}}-\x{{D7AF}}\x{{20000}}-\x{{2A6DF}}]+') AS w FROM documents)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(w, ' ')) AS md5 FROM w""",
-    "speech_marks": r"""
-SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[[^\]]*\]', '', 'g'), '\([^)]*\)', '', 'g'), '[!-/:-@\[-`{-~]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS md5 FROM documents""",
-    "loose_marks": r"""
-SELECT doc_id, md5('5%  $7 a ' || substr(text, 1, 300) || '   9$ ') AS md5 FROM documents WHERE NOT regexp_matches(text, '[<\[({%$]')""",
+    "speech_marks": rf"""
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[[^\]]*\]', '', 'g'), '\([^)]*\)', '', 'g'), '（[^）]*）', '', 'g'), '[\p{{P}}\p{{S}}]', '', 'g'), '[{BLANK}]+', ' ', 'g'))) AS md5 FROM documents""",
     "complete_groups": """
 WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, sum(n_chars) OVER (PARTITION BY source) AS w FROM documents),
 g AS (SELECT source FROM d WHERE r <= 5 GROUP BY source HAVING count(*) = 5 ORDER BY min(w), source LIMIT 7)
@@ -328,13 +327,13 @@ SELECT doc_id, lang, 'spk' || lpad(CAST(i AS VARCHAR), 2, '0') AS spk FROM docum
     "row_index": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents",
     "first_per_source": "SELECT source, min_by(lang, doc_id) AS lang FROM documents GROUP BY source",
     "model_margins": """
-WITH p AS (SELECT vec_id, CAST(embedding[1:4] AS DOUBLE[]) AS p FROM embeddings),
-x AS (SELECT vec_id, unnest(p) AS x, unnest(['a', 'b', 'c', 'd']) AS l FROM p),
+WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS p FROM embeddings),
+x AS (SELECT vec_id, unnest(p) AS x, unnest(list_transform(range(0, len(p)), lambda i: 'm' || lpad(CAST(i AS VARCHAR), 2, '0'))) AS l FROM p),
 s AS (SELECT vec_id, l, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, l DESC) AS r FROM x)
-SELECT a.vec_id, a.l AS label, round(a.s - b.s, 6) AS margin, round(CASE WHEN a.l = 'a' THEN a.s ELSE least(a.s, 0.49) END, 6) AS prob FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.r = 1 AND b.r = 2""",
+SELECT a.vec_id, a.l AS label, round(a.s - b.s, 6) AS margin, round(CASE WHEN a.l = 'm00' THEN a.s ELSE least(a.s, 0.49) END, 6) AS prob FROM s a JOIN s b ON a.vec_id = b.vec_id AND a.r = 1 AND b.r = 2""",
     "short_texts_dropped": """
 WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations)
-SELECT conv_id, turn FROM p WHERE length(text) >= 400 AND length(reply) >= 400""",
+SELECT conv_id, turn FROM p WHERE length(text) >= 200 AND length(reply) >= 200""",
     "folder_census": "SELECT lang, source AS folder, count(*) AS n FROM documents GROUP BY ALL",
     "perplexities": "SELECT event_type, round(exp(avg(value / 100)), 6) AS perplexity FROM events GROUP BY event_type",
 }

@@ -101,10 +101,7 @@ def reject_anti_join(spark, root):
 
 @query
 def enough_text_by_lang(spark, root):
-    d = docs(spark, root, "lang", "text")
-    dense = F.regexp_count("text", F.lit("[㐀-䶿一-鿿]"))
-    ok = (F.length("text") >= 40) & ((words() >= 5) | (dense >= 0.5 * F.length("text")))
-    return d.groupBy("lang").agg(F.count_if(ok).alias("enough"), F.count("*").alias("n"))
+    return docs(spark, root, "lang", "text").groupBy("lang").agg(F.count_if(filters.enough_text(F.col("text"))).alias("enough"), F.count("*").alias("n"))
 
 
 @query
@@ -115,10 +112,8 @@ def ngram_repetition(spark, root):
 
 @query
 def accept_text(spark, root):
-    w = F.regexp_extract_all("text", F.lit(ASCII_WORD), F.lit(0))
-    odd = F.regexp_like("text", F.lit(f"[{filters.ODD_CHARACTERS}{texts.CYRILLIC}{texts.ARABIC}]"))
-    ok = (F.size(w) >= 20) & ~odd & (texts.most_repeated(texts.ngrams(w, 5)) <= 3) & ~F.contains("text", F.lit("**"))
-    return docs(spark, root, "doc_id", "text").select("doc_id", F.coalesce(ok, F.lit(False)).alias("accepted"), filters.length_between(F.col("text"), 600, 1300).alias("fits"), filters.newlines_between(F.col("text"), 5, 15).alias("lines_fit"))
+    ok = filters.acceptable_text(F.col("text"))
+    return docs(spark, root, "doc_id", "text").select("doc_id", ok.alias("accepted"), filters.length_between(F.col("text"), 600, 1300).alias("fits"), filters.newlines_between(F.col("text"), 5, 15).alias("lines_fit"))
 
 
 @query
@@ -178,10 +173,7 @@ def hard_negatives(spark, root):
 
 @query
 def clean_markers(spark, root):
-    out = F.col("html")
-    for pattern in ("<[^>]{0,20}>", r"\[[^\]]{0,20}\]"):
-        out = F.regexp_replace(out, pattern, " ")
-    clean = F.trim(F.regexp_replace(out, r"[ \t\n\x0B\f\r]+", " "))
+    clean = texts.clean_markers(F.col("html"))
     return table(spark, root, "pages").select("page_id", F.length(clean).cast("long").alias("n_chars"), F.md5(clean).alias("md5"), texts.has_letter(clean).alias("scoreable"))
 
 
@@ -198,9 +190,7 @@ def normalize_text(spark, root):
 
 @query
 def tidy_text(spark, root):
-    c = F.regexp_replace("text", "([!?,])\\1+", "$1")
-    c = F.regexp_replace(c, r"[ \t\n\x0B\f\r]+([,.;:!?])", "$1")
-    c = F.trim(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " "))
+    c = texts.collapse_marks(texts.tidy_space(F.col("text")))
     return table(spark, root, "conversations").select("conv_id", "turn", F.md5(c).alias("md5"), F.length(c).cast("long").alias("n_chars"))
 
 
@@ -226,9 +216,8 @@ def json_props(spark, root):
 
 @query
 def cer_adjacent_turns(spark, root):
-    c = table(spark, root, "conversations").withColumn("ref", F.regexp_replace(F.substring("text", 1, 200), "[^ -~]", ""))
-    pairs = c.withColumn("hyp", F.lead("ref").over(W.partitionBy("conv_id").orderBy("turn"))).where("hyp IS NOT NULL")
-    return pairs.select("conv_id", "turn", F.round(texts.error_rate(F.col("ref"), F.col("hyp"), clip=True), 6).alias("cer"))
+    pairs = table(spark, root, "conversations").withColumn("hyp", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).where("hyp IS NOT NULL")
+    return pairs.select("conv_id", "turn", F.round(texts.error_rate(F.col("text"), F.col("hyp"), clip=True), 6).alias("cer"))
 
 
 @query
@@ -252,7 +241,7 @@ def chat_render(spark, root):
 def speak_documents(spark, root):
     d = docs(spark, root, "doc_id", "source", "text", "n_chars")
     tokens = F.transform(F.sequence(F.lit(0), F.least(F.lit(7), (F.col("n_chars") % 8)).cast("int")), lambda i: (i * 31 + F.col("doc_id")) % 65536)
-    return d.select("doc_id", F.md5(packing.speak_document(F.col("source"), F.substring("text", 1, 100), tokens)).alias("md5"))
+    return d.select("doc_id", F.md5(packing.speak_document(F.col("source"), F.col("text"), tokens)).alias("md5"))
 
 
 def _packed(spark, root):
@@ -588,35 +577,31 @@ def event_gate(spark, root):
 def tag_families(spark, root):
     c = table(spark, root, "conversations").where("role = 'user'")
     family = F.when(F.length("text") % 3 == 0, "burping").when(F.length("text") % 3 == 1, "sigh").otherwise("cough")
-    tagged = c.select("conv_id", "turn", F.concat(F.lit("<|sfx:"), family, F.lit("|>Xx "), F.lit("word")).alias("t"))
-    return filters.tag_filter(tagged, "t").select("conv_id", "turn", "t", F.array_join("families", ",").alias("families"), "no_tag_left")
+    tagged = c.select("conv_id", "turn", F.concat(F.substring("text", 1, 20), F.lit(" <|sfx:"), family, F.lit("|>"), F.substring(F.col("text"), F.lit(21), F.length("text"))).alias("t"))
+    return filters.tag_filter(tagged, "t").select("conv_id", "turn", F.md5("t").alias("md5"), F.array_join("families", ",").alias("families"), "no_tag_left")
 
 
 @query
 def prompt_texts(spark, root):
-    c = table(spark, root, "conversations").select("conv_id", "turn", F.regexp_replace(F.substring("text", 1, 120), r"[^ -~]", "").alias("t"))
-    return c.select("conv_id", "turn", F.md5(texts.prompt_punctuation(F.trim("t"))).alias("md5"))
+    c = table(spark, root, "conversations")
+    return c.select("conv_id", "turn", F.md5(texts.prompt_punctuation(F.col("text"))).alias("md5"))
 
 
 @query
 def mixed_words(spark, root):
-    w = F.regexp_extract_all("text", F.lit("[㐀-䶿一-鿿]|[^ \t\n\x0B\f\r㐀-䶿一-鿿]+"), F.lit(0))
+    w = texts.mixed_words(F.col("text"))
     return docs(spark, root, "doc_id", "text").select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(w, " ")).alias("md5"))
 
 
 @query
 def speech_marks(spark, root):
-    out = F.col("text")
-    for pattern in (r"\[[^\]]*\]", r"\([^)]*\)", r"[!-/:-@\[-`{-~]"):
-        out = F.regexp_replace(out, pattern, "")
-    return docs(spark, root, "doc_id", "text").select("doc_id", F.md5(F.trim(F.regexp_replace(out, r"[ \t\n\x0B\f\r]+", " "))).alias("md5"))
+    return docs(spark, root, "doc_id", "text").select("doc_id", F.md5(texts.strip_speech_marks(F.col("text"))).alias("md5"))
 
 
 @query
 def loose_marks(spark, root):
-    marked = F.concat(F.lit("5% % $7 a$ "), F.substring("text", 1, 300), F.lit(" <?> 9$ %"))
-    out = texts.drop_empty_brackets(texts.drop_loose_marks(marked))
-    return docs(spark, root, "doc_id", "text").where(~F.regexp_like("text", F.lit(r"[<\[({%$]"))).select("doc_id", F.md5(out).alias("md5"))
+    out = texts.drop_empty_brackets(texts.drop_loose_marks(F.col("text")))
+    return docs(spark, root, "doc_id", "text").select("doc_id", F.length(out).cast("long").alias("n_chars"), F.md5(out).alias("md5"))
 
 
 @query
@@ -646,16 +631,17 @@ def first_per_source(spark, root):
 
 @query
 def model_margins(spark, root):
-    e = table(spark, root, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("p"))
-    best = evaluation.top_two(arrays.softmax(F.transform("p", lambda x: x.cast("double"))), F.array(*map(F.lit, "abcd")))
-    capped = evaluation.ensemble(best["prob"], best["label"], F.lit("a"))
+    e = table(spark, root, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("p"))
+    names = F.transform("p", lambda _, i: F.concat(F.lit("m"), F.lpad(i.cast("string"), 2, "0")))
+    best = evaluation.top_two(arrays.softmax(F.col("p")), names)
+    capped = evaluation.ensemble(best["prob"], best["label"], F.lit("m00"))
     return e.select("vec_id", best["label"].alias("label"), F.round(best["margin"], 6).alias("margin"), F.round(capped, 6).alias("prob"))
 
 
 @query
 def short_texts_dropped(spark, root):
     p = table(spark, root, "conversations").withColumn("reply", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")))
-    return p.where(filters.at_least_chars(F.col("text"), F.col("reply"), least=400)).select("conv_id", "turn")
+    return p.where(filters.at_least_chars(F.col("text"), F.col("reply"), least=200)).select("conv_id", "turn")
 
 
 @query

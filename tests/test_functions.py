@@ -28,8 +28,10 @@ def test_paths(spark):
     assert one(spark, texts.path_language(F.col("a")), a="t/en/train/1.mp3") == "en"
     assert one(spark, texts.path_split(F.col("a")), a="t/en/1.mp3") is None
     archive, member = texts.archive_member(F.col("a"))
-    assert one(spark, archive, a="/data/x_trim/a/b.mp3") == "x_trim.zip"
-    assert one(spark, member, a="/data/x_trim/a/b.mp3") == "x_trim/a/b.mp3"
+    assert one(spark, archive, a="/data/x_trim/a/b.mp3") == "x_trim_neucodec.zip"
+    assert one(spark, member, a="/data/x_trim/a/b.mp3") == "x_trim_neucodec/a/b.json"
+    assert one(spark, member, a="x_trim/y_trim/b.c.mp3") == "x_trim_neucodec/y_trim/b.c.json"
+    assert [one(spark, c, a=a) for c in (archive, member) for a in ("/data/x/a.mp3", "x_trim/a.wav", None)] == [None] * 6
     assert one(spark, texts.shard_base(F.col("a")), a="voice-0-12") == "voice"
     assert one(spark, texts.replace_everywhere(F.col("a"), ".mp3", ".json"), a="a.mp3.mp3") == "a.json.json"
     assert one(spark, texts.token_path_styled(F.col("a"), F.lit("t"), {"t": "_trim_tok", "u": "_u"}), a="f/b.mp3") == "f_trim_tok/b.json"
@@ -42,7 +44,8 @@ def test_labels(spark):
     assert one(spark, texts.macro_language(F.col("a")), a="eng") == "eng"
     assert one(spark, texts.clean_markers(F.col("a")), a="<um> so\n[noise] well") == "so well"
     assert one(spark, texts.mixed_words(F.col("a")), a="ab 你好cd 한 x") == ["ab", "你", "好", "cd", "한", "x"]
-    assert one(spark, texts.character_type(F.col("a")), a="漢字かな") == "japanese"
+    kinds = {"漢字かな": "japanese", "漢字 한": "korean", "漢字a": "chinese", "漢a": "latin", "abا ب": "latin", "ا بab": "arabic", "жab": "latin", "жaж": "cyrillic", " \n": "other", "": "other"}
+    assert {k: one(spark, texts.character_type(F.col("a")), a=k) for k in kinds} == kinds
     assert one(spark, texts.strip_speech_marks(F.col("a")), a="[laugh] Hi, (ok) you！") == "Hi you"
 
 
@@ -55,6 +58,37 @@ def test_repeats_and_distances(spark):
     assert one(spark, texts.error_rate(F.col("a"), F.lit("xyz"), True), a="a") == 1.0
 
 
+def test_whole_turns_and_loose_marks_against_brute_force(spark):
+    """The two queries on texts that have no SQL, on whole texts with characters beyond ASCII."""
+    import random
+    import re
+
+    rng = random.Random(6)
+    turns = ["".join(rng.choices("ab é漢%$5<[(?)]> ", k=rng.choice([0, 3, 60, 400]))) for _ in range(24)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    df = spark.createDataFrame(list(zip(turns, turns[1:])), "a string, b string")
+    loose = texts.drop_empty_brackets(texts.drop_loose_marks(F.col("a")))
+    for r in df.select("a", "b", texts.error_rate(F.col("a"), F.col("b"), clip=True).alias("e"), loose.alias("c")).collect():
+        assert r["e"] == (min(1.0, distance(r["a"], r["b"]) / len(r["a"])) if r["a"] else float(bool(r["b"])))
+        kept = "".join(c for i, c in enumerate(r["a"]) if c not in "%$" or r["a"][i - 1 : i].isdigit() or r["a"][i + 1 : i + 2].isdigit())
+        assert r["c"] == re.sub(r"[<\[(][\W_]*?[>\])]", " ", kept)
+
+
+def test_partial_windows(spark):
+    count = lambda n, size, step: one(spark, F.size(arrays.partial_windows(F.col("a"), size, step)), a=n)
+    assert [count(n, 160, 16) for n in (1, 144, 160, 176, 177)] == [1, 1, 2, 3, 3]
+    assert [count(n, 100, 100) for n in (10, 100, 179, 180, 200)] == [1, 1, 1, 2, 2]
+    assert one(spark, arrays.partial_windows(F.col("a"), 100, 50), a=200) == [0, 50, 100]
+
+
 def test_prompts_and_sounds(spark):
     assert one(spark, texts.prompt_punctuation(F.col("a")), a="hello  there: “you”...") == 'Hello there, "you",'
     assert one(spark, texts.prompt_punctuation(F.col("a")), a="") == texts.EMPTY_PROMPT

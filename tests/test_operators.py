@@ -56,7 +56,13 @@ def test_documents(spark):
     assert d["a"] == "<|im_start|>v: hi<|speech_start|><|s_1|><|s_2|><|im_end|>"
     assert d["b"] == "<|im_start|><|STT|><|s_1|><|s_2|><|en|>hi<|im_end|>"
     assert (d["c"], d["d"], d["e"]) == ([7, 8], [[0, 1], [2, 3], [4]], [1, 9, 9, 2])
-    assert packing.expressive_documents(df.withColumn("c", F.lit("cat")), "t", "v", "c", "s").count() == 4
+    told = packing.expressive_documents(df.withColumns({"d": F.lit("a calm voice"), "c": F.lit("calm")}), "v", "t", "d", "c", "s").orderBy("task").collect()
+    assert [r["document"] for r in told] == [
+        "<|im_start|>v: hi<|description|>a calm voice<|speech_start|><|s_1|><|s_2|><|im_end|>",
+        "<|im_start|>v: hi<|description|>calm<|speech_start|><|s_1|><|s_2|><|im_end|>",
+        "<|im_start|><|s_1|><|s_2|><|description|>a calm voice<|im_end|>",
+        "<|im_start|><|s_1|><|s_2|><|description_category|>calm<|im_end|>",
+    ]
 
 
 # --- mixtures -------------------------------------------------------------------------------------------------------------------------
@@ -249,10 +255,10 @@ def test_predicates(spark):
     assert not holds(filters.acceptable_text(F.lit(good + " привет")))
     assert not holds(filters.acceptable_text(F.lit("a b c d e " * 5)))
     assert holds(filters.enough_text(F.lit("word " * 10))) and not holds(filters.enough_text(F.lit("x" * 50)))
-    assert holds(filters.enough_text(F.lit("漢" * 40)))
+    assert all(holds(filters.enough_text(F.lit(c * 40))) for c in "漢ཀ豈䷀ก")
     assert holds(filters.duration_between(F.lit(16000))) and not holds(filters.duration_between(F.lit(100)))
     tagged = filters.tag_filter(spark.createDataFrame([("a <|sfx:burping|>Burp b",)], "t string"), "t").first()
-    assert tagged["t"] == "a b" and tagged["no_tag_left"]
+    assert tagged["t"] == "a Burp b" and tagged["no_tag_left"]
 
 
 def test_scores(spark):
