@@ -24,13 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, a laptop) the session gets a folder of its own.
+    Only a local session (tests, a laptop) without that setting gets a folder of its own; on a cluster one machine's folder would not do.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(f"file:///tmp/corpusloom-{uuid.uuid4().hex}")
             found = context.getCheckpointDir()
     app = spark.sparkContext.applicationId

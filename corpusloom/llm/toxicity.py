@@ -17,7 +17,8 @@ PREFIXES = (3, 4, 5, 6)
 BITS = 20
 #: Rows of the training sample in which a feature must occur.
 LEAST_ROWS = 4
-#: Standard deviations by which its share of label-1 rows must exceed that of label-0 rows.
+#: Standard deviations by which its share of label-1 rows must exceed that of label-0 rows. By three-fold cross-validation inside the rows that may be learned from
+#: (check_s, mean log loss at 2.5, 3.5, 4.5, 5.5, 6.5: 0.090, 0.035, 0.017, 0.016, 0.016; errors at 0.3: 220, 46, 11, 8, 16).
 LEAST_Z = 5.5
 EPOCHS, RATE, L1 = 80, 0.3, 2e-3
 #: Probability of label 1 without any evidence.
@@ -180,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 def score(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on); columns with these names are replaced.
 
-    Null and empty texts score as one sentence without words. One pass over whole texts, nothing is shuffled; equal texts score alike.
+    Null and empty texts, and others without evidence, score the leak alone. One pass over whole texts, nothing is shuffled; equal texts score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
