@@ -10,6 +10,9 @@ which they came. So a batch is scored with the counts of the whole corpus, thoug
 
 from __future__ import annotations
 
+import functools
+import gc
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +21,7 @@ from pyspark.sql import types as T
 from corpusloom.llm import base, kernel
 
 #: Bytes of text that are counted and scored together (a longer text is a batch of its own).
-BATCH = 16 << 20
+BATCH = 8 << 20
 #: Bytes of corpus whose entries one part adds up; beyond MOST_PARTS parts they grow up to the second number, then their number does.
 PART, MOST_PARTS = (4 << 20, 64 << 20), 4096
 #: Weight, in words, of the unigram model in the bigram model (Dirichlet smoothing).
@@ -52,13 +55,6 @@ class Batch:
 
     def __init__(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray):
         self.keys, self.ids, self.counts = keys, ids, counts
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        before = np.empty(len(ids), np.int64)
-        before[1:] = ids[:-1]
-        before[(np.cumsum(counts) - counts)[counts > 0]] = 0
-        self.before = before
-        pairs, self.pair = np.unique(before * len(keys) + ids, return_inverse=True)
-        self.first, self.second = np.divmod(pairs, len(keys))
 
     @classmethod
     def of(cls, hashes: np.ndarray, counts: np.ndarray) -> Batch:
@@ -68,75 +64,108 @@ class Batch:
         rank[order] = np.arange(1, len(keys) + 1)
         return cls(np.append(BEGIN, keys[order]), rank[ids], counts)
 
+    @functools.cached_property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+    @functools.cached_property
+    def before(self) -> np.ndarray:
+        out = np.empty(len(self.ids), np.int64)
+        out[1:] = self.ids[:-1]
+        out[(np.cumsum(self.counts) - self.counts)[self.counts > 0]] = 0
+        return out
+
+    @functools.cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, second word) of each distinct pair, and the pair that each word ends."""
+        pairs, which = np.unique(self.before * len(self.keys) + self.ids, return_inverse=True)
+        return *np.divmod(pairs, len(self.keys)), which
+
     def pair_keys(self) -> np.ndarray:
-        return pair_keys(self.keys[self.first], self.keys[self.second])
+        first, second, _ = self.pairs
+        return pair_keys(self.keys[first], self.keys[second])
+
+    def tally(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts in all texts and in target texts: of words as words and as histories, and of pairs."""
+        aim = target[self.doc].astype(float)
+        count = lambda x, n: np.stack([np.bincount(x, minlength=n), np.bincount(x, weights=aim, minlength=n).astype(np.int64)], axis=1).astype(np.uint32)
+        return np.hstack([count(self.ids, len(self.keys)), count(self.before, len(self.keys))]), count(self.pairs[2], len(self.pairs[0]))
 
     def losses(self, words: np.ndarray, pairs: np.ndarray, total: np.ndarray, vocabulary: int, prior: float) -> np.ndarray:
         """(2, texts): sums of the losses in background and target; ``words`` has (b, t) as word and (b, t) as history, ``pairs`` (b, t)."""
+        first, second, which = self.pairs
         out = []
         for k in (0, 1):
             unigram = (words[:, k] + 1) / (total[k] + vocabulary + 1)
-            each = -np.log((pairs[:, k] + prior * unigram[self.second]) / (words[self.first, 2 + k] + prior))
-            out.append(np.bincount(self.doc, weights=each[self.pair], minlength=len(self.counts)))
+            each = -np.log((pairs[:, k] + prior * unigram[second]) / (words[first, 2 + k] + prior))
+            out.append(np.bincount(self.doc, weights=each[which], minlength=len(self.counts)))
         return np.array(out)
 
 
-COUNTED = "batch long, part int, ids array<{key}>, counts binary, tokens binary, words binary, word_counts binary, pairs binary, pair_counts binary"
+def _head(ids, counts: bytes, tokens: bytes, keys: bytes) -> Batch:
+    return Batch(np.frombuffer(keys, np.uint64), from_planes(tokens, np.uint32).astype(np.int64), np.frombuffer(counts, np.int32).astype(np.int64))
 
 
-def _counted(docs: DataFrame, parts: int, batch_bytes: int) -> DataFrame:
-    """Rows of ``COUNTED`` from (key, text, target): per batch one row of part -1 with its texts' keys and words, and one a part with the keys and counts of
-    its entries there: of words (b, t as words, b, t as histories) and of pairs (b, t)."""
-    kind = docs.schema["key"].dataType
-    schema = T._parse_datatype_string(COUNTED.format(key=kind.simpleString()))
+def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
+    """(batch, ids, target, counts, tokens, keys) from (key, text, target): a row a batch, with its texts' keys, marks and numbers of words, its words in order as
+    numbers, and the keys of those numbers."""
+    schema = T._parse_datatype_string(f"batch long, ids array<{docs.schema['key'].dataType.simpleString()}>, target binary, counts binary, tokens binary, keys binary")
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        fields = [pa.int64(), pa.int32(), None, *[pa.binary()] * 6]
         number = TaskContext.get().partitionId() << 32
 
-        def rows(ids, hashes, counts, target):
+        def row(ids, hashes, counts, target):
             nonlocal number
             number += 1
-            b = Batch.of(np.concatenate(hashes), np.concatenate(counts))
-            aim = np.concatenate(target)[b.doc]
-            n = len(b.keys)
-            tally = lambda x, size: np.stack([np.bincount(x, minlength=size), np.bincount(x, weights=aim, minlength=size).astype(np.int64)], axis=1)
-            words, pairs = np.hstack([tally(b.ids, n), tally(b.before, n)]).astype(np.uint32), tally(b.pair, len(b.first)).astype(np.uint32)
-            keys = b.pair_keys()
-            (wo, wc), (po, pc) = by_part(b.keys, parts), by_part(keys, parts)
-            some = np.flatnonzero((np.diff(wc) > 0) | (np.diff(pc) > 0))
-            cut = lambda x, order, edge, pack: [pack(x[order[edge[p] : edge[p + 1]]]) for p in some]
-            ids = pa.concat_arrays(ids)
-            lists = pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * (len(some) + 1)], pa.int32()), ids)
-            raw = lambda x: x.tobytes()
-            none = [None] * len(some)
-            columns = [
-                [number] * (len(some) + 1), [-1, *some.tolist()], lists, [b.counts.astype(np.int32).tobytes(), *none], [planes(b.ids.astype(np.uint32)), *none],
-                [b.keys.tobytes(), *cut(b.keys, wo, wc, raw)], [None, *cut(words, wo, wc, planes)], [None, *cut(keys, po, pc, raw)], [None, *cut(pairs, po, pc, planes)],
-            ]
-            return pa.RecordBatch.from_arrays([c if t is None else pa.array(c, t) for c, t in zip(columns, fields, strict=True)], names=schema.names)
+            counts, ids = np.concatenate(counts), pa.concat_arrays(ids)
+            b = Batch.of(np.concatenate(hashes), counts)
+            raw = [np.concatenate(target).tobytes(), counts.astype(np.int32).tobytes(), planes(b.ids.astype(np.uint32)), b.keys.tobytes()]
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists, *(pa.array([x], pa.binary()) for x in raw)], names=schema.names)
 
         held, size = ([], [], [], []), 0
         for batch in batches:
-            key, target = batch.column("key"), batch.column("target").to_numpy(zero_copy_only=False).astype(float)
+            key, target = batch.column("key"), batch.column("target").to_numpy(zero_copy_only=False).astype(np.uint8)
             for at, texts in kernel.chunks(kernel.as_bytes(batch.column("text"))):
                 w = kernel.Words(texts, kernel.ALNUM)
                 for part, x in zip(held, (key.slice(at, len(texts)), w.hashes(), w.count, target[at : at + len(texts)]), strict=True):
                     part.append(x)
                 size += len(w.data)
                 if size >= batch_bytes:
-                    yield rows(*held)
+                    yield row(*held)
                     held, size = ([], [], [], []), 0
         if size:
-            yield rows(*held)
+            yield row(*held)
 
     base.reachable(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
+def _counted(heads: DataFrame, parts: int) -> DataFrame:
+    """(batch, part, words, word_counts, pairs, pair_counts): the keys and counts of a batch's entries in each part."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = _head(None, *(batch.column(c)[i].as_py() for c in ("counts", "tokens", "keys")))
+                words, pairs = b.tally(np.frombuffer(batch.column("target")[i].as_py(), np.uint8))
+                keys = b.pair_keys()
+                (wo, wc), (po, pc) = by_part(b.keys, parts), by_part(keys, parts)
+                some = np.flatnonzero((np.diff(wc) > 0) | (np.diff(pc) > 0))
+                cut = lambda x, order, edge, pack: pa.array([pack(x[order[edge[p] : edge[p + 1]]]) for p in some], pa.binary())  # noqa: E731, B023
+                entries = [cut(b.keys, wo, wc, np.ndarray.tobytes), cut(words, wo, wc, planes), cut(keys, po, pc, np.ndarray.tobytes), cut(pairs, po, pc, planes)]
+                number = pa.array(np.full(len(some), batch.column("batch")[i].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([number, pa.array(some, pa.int32()), *entries], names=["batch", "part", "words", "word_counts", "pairs", "pair_counts"])
+
+    base.reachable(heads.sparkSession)
+    return heads.mapInArrow(run, "batch long, part int, words binary, word_counts binary, pairs binary, pair_counts binary")
+
+
 def _summed(counted: DataFrame, parts: int) -> DataFrame:
     """(batch, part, words, pairs, vocabulary, b, t): the sums over all batches for a batch's own entries; one row a part has its distinct words and words in all."""
 
@@ -160,21 +189,19 @@ def _summed(counted: DataFrame, parts: int) -> DataFrame:
                 columns = [pa.array(batch[x:y], pa.int64()), pa.array(part[x:y], pa.int32()), *(pa.array([planes(v) for v in c], pa.binary()) for c in (own, own_pairs)), *(pa.array(v, pa.int64()) for v in told)]
                 yield pa.RecordBatch.from_arrays(columns, names=["batch", "part", "words", "pairs", "vocabulary", "b", "t"])
 
-    rows = counted.where("part >= 0").select("batch", "part", "words", "word_counts", "pairs", "pair_counts")
-    return rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "batch long, part int, words binary, pairs binary, vocabulary long, b long, t long")
+    return counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "batch long, part int, words binary, pairs binary, vocabulary long, b long, t long")
 
 
-def _scored(counted: DataFrame, summed: DataFrame, parts: int, total: np.ndarray, vocabulary: int, prior: float) -> DataFrame:
+def _scored(heads: DataFrame, summed: DataFrame, parts: int, total: np.ndarray, vocabulary: int, prior: float) -> DataFrame:
     """(key, n_words, target_loss, background_loss, score) of each text, batch by batch."""
-    kind = counted.schema["ids"].dataType.elementType
+    kind = heads.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("key", kind), T.StructField("n_words", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score"))])
 
     def run(batches):
         import pyarrow as pa
 
         def result(head, words, pairs):
-            ids, counts, tokens, keys = head
-            b = Batch(np.frombuffer(keys, np.uint64), from_planes(tokens, np.uint32).astype(np.int64), np.frombuffer(counts, np.int32).astype(np.int64))
+            b = _head(*head)
             told = []
             for k, raw, width in ((b.keys, words, 4), (b.pair_keys(), pairs, 2)):
                 out = np.empty((len(k), width), np.int64)
@@ -182,7 +209,7 @@ def _scored(counted: DataFrame, summed: DataFrame, parts: int, total: np.ndarray
                 told.append(out)
             none, by = b.counts == 0, np.maximum(b.counts, 1)
             back, aim = b.losses(*told, total, vocabulary, prior) / by
-            return pa.RecordBatch.from_arrays([ids, pa.array(b.counts), *(pa.array(x, pa.float64(), mask=none) for x in (aim, back, aim - back))], names=schema.names)
+            return pa.RecordBatch.from_arrays([head[0], pa.array(b.counts), *(pa.array(x, pa.float64(), mask=none) for x in (aim, back, aim - back))], names=schema.names)
 
         head, words, pairs = None, [], []
         for batch in batches:
@@ -198,8 +225,7 @@ def _scored(counted: DataFrame, summed: DataFrame, parts: int, total: np.ndarray
         if head:
             yield result(head, words, pairs)
 
-    heads = counted.where("part < 0").select("batch", "part", "ids", "counts", "tokens", F.col("words").alias("keys"))
-    rows = heads.unionByName(summed.select("batch", "part", "words", "pairs"), allowMissingColumns=True)
+    rows = heads.drop("target").withColumn("part", F.lit(-1)).unionByName(summed.select("batch", "part", "words", "pairs"), allowMissingColumns=True)
     return rows.repartition("batch").sortWithinPartitions("batch", "part").mapInArrow(run, schema)
 
 
@@ -216,7 +242,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, key: str = "
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, min(-(-size // PART[0]), MOST_PARTS), -(-size // PART[1]))
     marked = rows.join(base.small(marks), F.col("key") == F.col("_key"), "left").select("key", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    counted = base.save(_counted(marked, parts, batch_bytes), "counted")
-    summed = base.save(_summed(counted, parts), "summed")
+    heads = base.save(_batches(marked, batch_bytes), "batches")
+    summed = base.save(_summed(_counted(heads, parts), parts), "sums")
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()  # frees the files of the entries' shuffle, the largest there are
     vocabulary, *total = (x or 0 for x in summed.agg(F.sum("vocabulary"), F.sum("b"), F.sum("t")).first())
-    return _scored(counted, summed, parts, np.array(total, float), vocabulary, prior).withColumnRenamed("key", key)
+    return _scored(heads, summed, parts, np.array(total, float), vocabulary, prior).withColumnRenamed("key", key)
