@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
+import time
 import uuid
 from pathlib import Path
 
@@ -72,6 +74,14 @@ def drop(df: DataFrame) -> None:
     remove(df.sparkSession, df.scratch)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let shuffle files go that no live plan reads, rather than when the driver next collects its garbage: Python's references, then the JVM's, twice."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows, else ``df`` for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -4,14 +4,13 @@ Both models have the same vocabulary, every word of the corpus, the same order a
 is the mean of target loss minus background loss over its words, so a low score means "like the target".
 
 The models grow with the corpus, so they are never in one place. Texts are taken in batches. Each counts its words and pairs of words and sends the counts, dealt out
-to parts by hash, as arrays: one row a batch and part. A part adds up what it gets and sends each batch the sums of the batch's own entries, in the order in
+to parts by hash, as arrays: one row a batch and part. A part adds up what it gets and sends each batch what the others have of the batch's own entries, in the order in
 which they came. So a batch is scored with the counts of the whole corpus, though it holds those alone that its texts need.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -102,7 +101,7 @@ class Batch:
         return np.array(out)
 
 
-def _head(ids, counts: bytes, tokens: bytes, keys: bytes) -> Batch:
+def _head(counts: bytes, tokens: bytes, keys: bytes) -> Batch:
     return Batch(np.frombuffer(keys, np.uint64), from_planes(tokens, np.uint32).astype(np.int64), np.frombuffer(counts, np.int32).astype(np.int64))
 
 
@@ -152,7 +151,7 @@ def _counted(heads: DataFrame, parts: int) -> DataFrame:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                b = _head(None, *(batch.column(c)[i].as_py() for c in ("counts", "tokens", "keys")))
+                b = _head(*(batch.column(c)[i].as_py() for c in ("counts", "tokens", "keys")))
                 words, pairs = b.tally(np.frombuffer(batch.column("target")[i].as_py(), np.uint8))
                 keys = b.pair_keys()
                 (wo, wc), (po, pc) = by_part(b.keys, parts), by_part(keys, parts)
@@ -167,14 +166,15 @@ def _counted(heads: DataFrame, parts: int) -> DataFrame:
 
 
 def _summed(counted: DataFrame, parts: int) -> DataFrame:
-    """(batch, part, words, pairs, vocabulary, b, t): the sums over all batches for a batch's own entries; one row a part has its distinct words and words in all."""
+    """(batch, part, words, pairs, vocabulary, b, t): the sums over all other batches for a batch's own entries, nought for most; one row a part has its distinct words
+    and words in all."""
 
     def sums(raw: list[bytes], counts: list[bytes], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
         keys, where = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
         each = np.concatenate([from_planes(c, np.uint32).reshape(-1, width) for c in counts])
         total = np.stack([np.bincount(where, weights=each[:, k], minlength=len(keys)) for k in range(width)], axis=1).astype(np.int64)
         edge = np.cumsum([len(x) // 8 for x in raw])[:-1]
-        return total, [total[x] for x in np.split(where, edge)]
+        return total, np.split(total[where] - each, edge)
 
     def run(batches):
         import pyarrow as pa
@@ -201,15 +201,14 @@ def _scored(heads: DataFrame, summed: DataFrame, parts: int, total: np.ndarray,
         import pyarrow as pa
 
         def result(head, words, pairs):
-            b = _head(*head)
-            told = []
-            for k, raw, width in ((b.keys, words, 4), (b.pair_keys(), pairs, 2)):
-                out = np.empty((len(k), width), np.int64)
-                out[by_part(k, parts)[0]] = np.concatenate([from_planes(x, np.int64).reshape(-1, width) for x in raw])
-                told.append(out)
+            ids, target, *told = head
+            b = _head(*told)
+            told = [x.astype(np.int64) for x in b.tally(np.frombuffer(target, np.uint8))]
+            for out, k, raw in zip(told, (b.keys, b.pair_keys()), (words, pairs), strict=True):
+                out[by_part(k, parts)[0]] += np.concatenate([from_planes(x, np.int64).reshape(-1, out.shape[1]) for x in raw])
             none, by = b.counts == 0, np.maximum(b.counts, 1)
             back, aim = b.losses(*told, total, vocabulary, prior) / by
-            return pa.RecordBatch.from_arrays([head[0], pa.array(b.counts), *(pa.array(x, pa.float64(), mask=none) for x in (aim, back, aim - back))], names=schema.names)
+            return pa.RecordBatch.from_arrays([ids, pa.array(b.counts), *(pa.array(x, pa.float64(), mask=none) for x in (aim, back, aim - back))], names=schema.names)
 
         head, words, pairs = None, [], []
         for batch in batches:
@@ -218,14 +217,14 @@ def _scored(heads: DataFrame, summed: DataFrame, parts: int, total: np.ndarray,
                     if head:
                         yield result(head, words, pairs)
                     words, pairs = [], []
-                    head = (batch.column("ids")[i].values, *(batch.column(c)[i].as_py() for c in ("counts", "tokens", "keys")))
+                    head = (batch.column("ids")[i].values, *(batch.column(c)[i].as_py() for c in ("target", "counts", "tokens", "keys")))
                 else:
                     words.append(batch.column("words")[i].as_py())
                     pairs.append(batch.column("pairs")[i].as_py())
         if head:
             yield result(head, words, pairs)
 
-    rows = heads.drop("target").withColumn("part", F.lit(-1)).unionByName(summed.select("batch", "part", "words", "pairs"), allowMissingColumns=True)
+    rows = heads.withColumn("part", F.lit(-1)).unionByName(summed.select("batch", "part", "words", "pairs"), allowMissingColumns=True)
     return rows.repartition("batch").sortWithinPartitions("batch", "part").mapInArrow(run, schema)
 
 
@@ -244,7 +243,6 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, key: str = "
     marked = rows.join(base.small(marks), F.col("key") == F.col("_key"), "left").select("key", "text", F.coalesce("target", F.lit(False)).alias("target"))
     heads = base.save(_batches(marked, batch_bytes), "batches")
     summed = base.save(_summed(_counted(heads, parts), parts), "sums")
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()  # frees the files of the entries' shuffle, the largest there are
+    base.free_shuffles(docs.sparkSession)  # that of the entries is the largest file there is
     vocabulary, *total = (x or 0 for x in summed.agg(F.sum("vocabulary"), F.sum("b"), F.sum("t")).first())
     return _scored(heads, summed, parts, np.array(total, float), vocabulary, prior).withColumnRenamed("key", key)
