@@ -33,14 +33,20 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return kernel.mix(before * np.uint64(kernel.BASE) + word)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers as the planes of their bytes, lowest first: most high planes are zeros, which compress to nothing."""
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, row by row, as the planes of those of their bytes that the largest needs, lowest first; that number of planes comes before them."""
+    x = x.reshape(-1)
+    k = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([k]) + np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes()
 
 
-def from_planes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+def unpacked(raw: bytes, width: int = 1) -> np.ndarray:
+    """The numbers, in rows of ``width`` if that isn't 1."""
+    rows = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((rows.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = rows.T
+    out = out.view("<i8").reshape(-1)
+    return out if width == 1 else out.reshape(-1, width)
 
 
 def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +93,7 @@ class Batch:
     def tally(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts in all texts and in target texts: of words as words and as histories, and of pairs."""
         aim = target[self.doc].astype(float)
-        count = lambda x, n: np.stack([np.bincount(x, minlength=n), np.bincount(x, weights=aim, minlength=n).astype(np.int64)], axis=1).astype(np.uint32)
+        count = lambda x, n: np.stack([np.bincount(x, minlength=n), np.bincount(x, weights=aim, minlength=n).astype(np.int64)], axis=1)
         return np.hstack([count(self.ids, len(self.keys)), count(self.before, len(self.keys))]), count(self.pairs[2], len(self.pairs[0]))
 
     def losses(self, words: np.ndarray, pairs: np.ndarray, total: np.ndarray, vocabulary: int, prior: float) -> np.ndarray:
@@ -102,7 +108,7 @@ class Batch:
 
 
 def _head(counts: bytes, tokens: bytes, keys: bytes) -> Batch:
-    return Batch(np.frombuffer(keys, np.uint64), from_planes(tokens, np.uint32).astype(np.int64), np.frombuffer(counts, np.int32).astype(np.int64))
+    return Batch(np.frombuffer(keys, np.uint64), unpacked(tokens), unpacked(counts))
 
 
 def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
@@ -121,7 +127,7 @@ def _batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
             number += 1
             counts, ids = np.concatenate(counts), pa.concat_arrays(ids)
             b = Batch.of(np.concatenate(hashes), counts)
-            raw = [np.concatenate(target).tobytes(), counts.astype(np.int32).tobytes(), planes(b.ids.astype(np.uint32)), b.keys.tobytes()]
+            raw = [np.concatenate(target).tobytes(), packed(counts), packed(b.ids), b.keys.tobytes()]
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), lists, *(pa.array([x], pa.binary()) for x in raw)], names=schema.names)
 
@@ -157,7 +163,7 @@ def _counted(heads: DataFrame, parts: int) -> DataFrame:
                 (wo, wc), (po, pc) = by_part(b.keys, parts), by_part(keys, parts)
                 some = np.flatnonzero((np.diff(wc) > 0) | (np.diff(pc) > 0))
                 cut = lambda x, order, edge, pack: pa.array([pack(x[order[edge[p] : edge[p + 1]]]) for p in some], pa.binary())  # noqa: E731, B023
-                entries = [cut(b.keys, wo, wc, np.ndarray.tobytes), cut(words, wo, wc, planes), cut(keys, po, pc, np.ndarray.tobytes), cut(pairs, po, pc, planes)]
+                entries = [cut(b.keys, wo, wc, np.ndarray.tobytes), cut(words, wo, wc, packed), cut(keys, po, pc, np.ndarray.tobytes), cut(pairs, po, pc, packed)]
                 number = pa.array(np.full(len(some), batch.column("batch")[i].as_py()), pa.int64())
                 yield pa.RecordBatch.from_arrays([number, pa.array(some, pa.int32()), *entries], names=["batch", "part", "words", "word_counts", "pairs", "pair_counts"])
 
@@ -171,8 +177,8 @@ def _summed(counted: DataFrame, parts: int) -> DataFrame:
 
     def sums(raw: list[bytes], counts: list[bytes], width: int) -> tuple[np.ndarray, list[np.ndarray]]:
         keys, where = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
-        each = np.concatenate([from_planes(c, np.uint32).reshape(-1, width) for c in counts])
-        total = np.stack([np.bincount(where, weights=each[:, k], minlength=len(keys)) for k in range(width)], axis=1).astype(np.int64)
+        each = np.concatenate([unpacked(c, width) for c in counts])
+        total = np.stack([np.bincount(where, weights=each[:, k], minlength=len(keys)).astype(np.int64) for k in range(width)], axis=1)
         edge = np.cumsum([len(x) // 8 for x in raw])[:-1]
         return total, np.split(total[where] - each, edge)
 
@@ -186,7 +192,7 @@ def _summed(counted: DataFrame, parts: int) -> DataFrame:
                 _, own_pairs = sums(pairs[x:y], pair_counts[x:y], 2)
                 first = np.arange(y - x) == 0
                 told = [np.where(first, v, 0) for v in (int((total[:, 0] > 0).sum()), int(total[:, 0].sum()), int(total[:, 1].sum()))]
-                columns = [pa.array(batch[x:y], pa.int64()), pa.array(part[x:y], pa.int32()), *(pa.array([planes(v) for v in c], pa.binary()) for c in (own, own_pairs)), *(pa.array(v, pa.int64()) for v in told)]
+                columns = [pa.array(batch[x:y], pa.int64()), pa.array(part[x:y], pa.int32()), *(pa.array([packed(v) for v in c], pa.binary()) for c in (own, own_pairs)), *(pa.array(v, pa.int64()) for v in told)]
                 yield pa.RecordBatch.from_arrays(columns, names=["batch", "part", "words", "pairs", "vocabulary", "b", "t"])
 
     return counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "batch long, part int, words binary, pairs binary, vocabulary long, b long, t long")
@@ -203,9 +209,9 @@ def _scored(heads: DataFrame, summed: DataFrame, parts: int, total: np.ndarray,
         def result(head, words, pairs):
             ids, target, *told = head
             b = _head(*told)
-            told = [x.astype(np.int64) for x in b.tally(np.frombuffer(target, np.uint8))]
+            told = b.tally(np.frombuffer(target, np.uint8))
             for out, k, raw in zip(told, (b.keys, b.pair_keys()), (words, pairs), strict=True):
-                out[by_part(k, parts)[0]] += np.concatenate([from_planes(x, np.int64).reshape(-1, out.shape[1]) for x in raw])
+                out[by_part(k, parts)[0]] += np.concatenate([unpacked(x, out.shape[1]) for x in raw])
             none, by = b.counts == 0, np.maximum(b.counts, 1)
             back, aim = b.losses(*told, total, vocabulary, prior) / by
             return pa.RecordBatch.from_arrays([ids, pa.array(b.counts), *(pa.array(x, pa.float64(), mask=none) for x in (aim, back, aim - back))], names=schema.names)
