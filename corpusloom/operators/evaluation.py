@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as texts
+from corpusloom.sources.readers import indexed
 
 
 def nested_means(df: DataFrame, score: str, levels: list[str], alias: str = "score") -> list[DataFrame]:
@@ -59,12 +60,13 @@ def run_summaries(logs: DataFrame, run: str, step: str, loss: str, tasks: dict[s
 
 def leaderboard(runs: DataFrame, ident: str, status: str, dev: str, train: str, ok: str = "ok") -> DataFrame:
     """Adds ``metric`` and ``place``: runs that ended well by rising metric, then the others without a place. The metric is the dev loss
-    if every such run has one, else the training loss."""
+    if every such run has one, else the training loss. Ranges are ranked apart; no one task sorts all runs."""
     good = F.col(status) == ok
-    missing = F.max(F.when(good & F.col(dev).isNull(), 1).otherwise(0)).over(W.partitionBy())
-    scored = runs.withColumn("metric", F.when(good, F.when(missing == 0, F.col(dev)).otherwise(F.col(train))))
-    place = F.row_number().over(W.orderBy(F.col("metric").asc_nulls_last(), ident))
-    return scored.withColumn("place", F.when(F.col("metric").isNotNull(), place))
+    missing = runs.agg(F.coalesce(F.max(F.when(good & F.col(dev).isNull(), 1)), F.lit(0)).alias("_missing"))
+    scored = runs.crossJoin(F.broadcast(missing)).withColumn("metric", F.when(good, F.when(F.col("_missing") == 0, F.col(dev)).otherwise(F.col(train)))).drop("_missing")
+    ranked = indexed(scored.where("metric is not null").withColumn("_order", F.struct("metric", ident)), "_order")
+    placed = ranked.withColumn("place", (F.col("row") + 1).cast("int")).select(*scored.columns, "place")
+    return placed.unionByName(scored.where("metric is null").withColumn("place", F.lit(None).cast("int")))
 
 
 def markdown(runs: DataFrame, place: str, columns: list[Column]) -> DataFrame:

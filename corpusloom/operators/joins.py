@@ -104,8 +104,23 @@ def cyclic_partner(df: DataFrame, keys: list[str], order: list[Column], text: st
     return rows.withColumn("partner", F.coalesce("_next", wrapped)).drop("_new", "_run", "_next", "_first", "_second")
 
 
+#: Centroids that are broadcast, after counting them.
+CENTROIDS = 5_000
+
+
 def nearest(rows: DataFrame, centroids: DataFrame, key: str, vector: str, centroid: str, center: str, within: list[str] | None = None) -> DataFrame:
-    """(key, centroid, similarity): the centroid of greatest cosine, the smallest name of equals. Centroids are few: one a cluster of a group."""
+    """(key, centroid, similarity): the centroid of greatest cosine, the smallest name of equals.
+
+    Up to ``CENTROIDS`` of them, counted first, are broadcast as one array (of each group) and compared within the row, so nothing is shuffled; more are
+    joined.
+    """
+    if centroids.limit(CENTROIDS + 1).count() <= CENTROIDS:
+        told = F.collect_list(F.struct(F.col(centroid).alias("name"), arrays.unit(F.col(center)).alias("c"))).alias("_all")
+        lists = centroids.groupBy(*(within or [])).agg(told)
+        met = rows.withColumn("_u", arrays.unit(F.col(vector)))
+        met = met.join(F.broadcast(lists), within) if within else met.crossJoin(F.broadcast(lists)).where(F.size("_all") > 0)
+        best = F.array_min(F.transform("_all", lambda x: F.struct((-arrays.dot(F.col("_u"), x["c"])).alias("s"), x["name"].alias("name"))))
+        return met.select(*(within or []), key, best.alias("_b")).select(*(within or []), key, F.col("_b.name").alias(centroid), (-F.col("_b.s")).alias("similarity"))
     a, b = rows.withColumn("_u", arrays.unit(F.col(vector))), centroids.withColumn("_c", arrays.unit(F.col(center)))
     joined = a.join(b.select(*(within or []), centroid, "_c"), within) if within else a.crossJoin(b.select(centroid, "_c"))
     scored = joined.select(*(within or []), key, centroid, arrays.dot(F.col("_u"), F.col("_c")).alias("similarity"))

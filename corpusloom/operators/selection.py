@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions import text as texts
+from corpusloom.sources.readers import indexed
 
 
 def attested(counts: DataFrame, group: str, label: str, n: str, least: int = 50, share: float = 0.4) -> DataFrame:
@@ -57,9 +58,10 @@ def pick_with_caps(df: DataFrame, group: str, speaker: str, text: str, order: li
         if picked is not None:
             yield finish()
 
+    sort = [F.col(o[1:]).desc() if o.startswith("-") else F.col(o) for o in order]
     keyed = df.where(F.col(group).isNotNull()).withColumn("_key", F.coalesce(texts.dedup_key(F.col(text)), F.lit("")))
-    sort = [F.expr(o) if isinstance(o, str) else o for o in order]
-    return keyed.repartition(group).sortWithinPartitions(F.col(group), *[F.col(o[1:]).desc() if isinstance(o, str) and o.startswith("-") else s for o, s in zip(order, sort, strict=True)]).mapInPandas(scan, schema)
+    near = top(top(keyed, [group, speaker, "_key"], sort, 1, "_first"), [group, speaker], sort, most, "_near").drop("_first", "_near")
+    return near.repartition(group).sortWithinPartitions(F.col(group), *sort).mapInPandas(scan, schema)
 
 
 def complete_groups(df: DataFrame, group: str, order: list[Column], size: int, groups: int, weight: str) -> DataFrame:
@@ -87,15 +89,20 @@ def renumbered(df: DataFrame, group: str, cluster: str, name: str = "spk") -> Da
 
 
 def snake(df: DataFrame, size: str, ident: str, workers: int) -> DataFrame:
-    """Adds ``worker``: files by falling size, dealt forth and back. The ranking runs over the list of files alone."""
-    i = F.row_number().over(W.orderBy(F.desc(size), ident)) - 1
-    lap, place = F.floor(i / workers), i % workers
-    return df.withColumn("worker", F.when(lap % 2 == 0, place).otherwise(workers - 1 - place).cast("int"))
+    """Adds ``worker``: files by falling size, dealt forth and back. Ranges are ranked apart; no one task sorts all."""
+    ranked = indexed(df.withColumn("_order", F.struct(F.negative(size).alias("s"), F.col(ident).alias("i"))), "_order")
+    lap, place = F.floor(F.col("row") / workers), F.col("row") % workers
+    return ranked.withColumn("worker", F.when(lap % 2 == 0, place).otherwise(workers - 1 - place).cast("int")).select(*df.columns, "worker")
 
 
 def near_equal_chunks(df: DataFrame, order: str, chunks: int) -> DataFrame:
-    """Adds ``chunk``: consecutive chunks, the first ones having one row more where it doesn't divide."""
-    return df.withColumn("chunk", F.ntile(chunks).over(W.orderBy(order)) - 1)
+    """Adds ``chunk``: consecutive chunks, the first ones having one row more where it doesn't divide. Rows are ranked in ranges, apart."""
+    total = df.agg(F.count("*").alias("_all"))
+    ranked = indexed(df, order).crossJoin(F.broadcast(total))  # one row
+    size, longer = F.floor(F.col("_all") / chunks), F.col("_all") % chunks
+    in_longer = F.col("row") < longer * (size + 1)
+    chunk = F.when(in_longer, F.floor(F.col("row") / (size + 1))).otherwise(longer + F.floor((F.col("row") - longer * (size + 1)) / F.greatest(size, F.lit(1))))
+    return ranked.withColumn("chunk", chunk.cast("int")).select(*df.columns, "chunk")
 
 
 def linspace_bounds(n: int, workers: int) -> list[tuple[int, int]]:
@@ -114,21 +121,31 @@ def waves(df: DataFrame, name: str, count: int) -> DataFrame:
 def budget_round_robin(files: DataFrame, folder: str, order: str, size: str, budget: int) -> DataFrame:
     """Adds ``depth`` and ``taken``: a file a folder in turn, one that doesn't fit is skipped for good; the first round that takes nothing ends it.
 
-    The fold runs over the list of files, in one task, with a number as its state.
+    Rounds that fit whole are found by a running sum over the rounds' sizes and taken as they are, and files larger than what is then left are out. The fold
+    runs over the others alone, in order, with a number as its state.
     """
     ranked = files.withColumn("depth", F.row_number().over(W.partitionBy(folder).orderBy(order)) - 1)
+    rounds = ranked.groupBy("depth").agg(F.sum(size).alias("_size"))
+    upto = rounds.withColumn("_upto", F.sum("_size").over(W.orderBy("depth")))
+    whole = upto.where(F.col("_upto") <= budget).agg(F.coalesce(F.max("depth"), F.lit(-1)).alias("_last"), F.coalesce(F.max("_upto"), F.lit(0)).alias("_used"))
+    told = ranked.crossJoin(F.broadcast(whole))  # one row
+    fitting = F.col(size) <= budget - F.col("_used")
     schema = T.StructType([*ranked.schema.fields, T.StructField("taken", T.BooleanType())])
 
     def fold(frames):
-        total, depth, took, over = 0, 0, False, False
+        total, depth, took, over = None, 0, True, False
         for frame in frames:
+            if total is None and len(frame):
+                total, depth = frame["_used"].iloc[0], frame["_last"].iloc[0]
             taken = []
             for d, n in zip(frame["depth"], frame[size], strict=True):
                 if d != depth:
-                    over, depth, took = over or not took, d, False
+                    over, depth, took = over or not took or d > depth + 1, d, False
                 fits = not over and total + n <= budget
                 total, took = (total + n, True) if fits else (total, took)
                 taken.append(fits)
             yield frame.assign(taken=taken)[schema.names]
 
-    return ranked.repartition(1).sortWithinPartitions("depth", folder).mapInPandas(fold, schema)
+    folded = told.where((F.col("depth") > F.col("_last")) & fitting).repartition(1).sortWithinPartitions("depth", folder).mapInPandas(fold, schema)
+    settled = told.where((F.col("depth") <= F.col("_last")) | ~F.coalesce(fitting, F.lit(False))).withColumn("taken", F.col("depth") <= F.col("_last"))
+    return settled.select(*schema.names).unionByName(folded)

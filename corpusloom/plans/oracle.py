@@ -155,7 +155,7 @@ FROM (SELECT '<|' || event_type || '|>' AS token FROM events UNION SELECT '<|' |
 WITH h AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha1('7:' || doc_id), doc_id) AS r FROM documents)
 SELECT source, doc_id, CAST(r AS INT) AS rank FROM h WHERE r <= 10""",
     "budget_round_robin": """
-WITH RECURSIVE b AS (SELECT coalesce(sum(n_chars), 0) // 2 AS budget FROM documents),
+WITH RECURSIVE b AS (SELECT 1000000 AS budget),
 d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS depth FROM documents),
 o AS (SELECT *, row_number() OVER (ORDER BY depth, source) AS r FROM d),
 f AS (

@@ -313,8 +313,7 @@ def stratified_sample(spark, root):
 @query
 def budget_round_robin(spark, root):
     d = docs(spark, root, "doc_id", "source", "n_chars")
-    sizes = d.agg(F.sum("n_chars")).first()[0] or 0
-    out = selection.budget_round_robin(d, "source", "doc_id", "n_chars", sizes // 2)
+    out = selection.budget_round_robin(d, "source", "doc_id", "n_chars", 1_000_000)
     return out.select("source", "doc_id", F.col("depth").cast("long").alias("depth"), "taken")
 
 
