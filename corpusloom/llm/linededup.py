@@ -43,32 +43,6 @@ class Units:
         self.start = w.start[self.first]
         self.cut = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
-    def fingerprints(self, least: int) -> np.ndarray:
-        """Ascending indexes of the units that some window selects."""
-        n = len(self.first)
-        if not n:
-            return np.empty(0, np.int64)
-        upto = np.append(0, np.cumsum(self.words))
-        end = np.searchsorted(upto, upto[:-1] + least)  # windows are [i, end)
-        i = np.flatnonzero((end <= n) & (end <= self.cut[self.doc + 1]))
-        end = end[i]
-        if not len(i):
-            return np.empty(0, np.int64)
-        rank = (np.minimum(self.words, 0xFFFF).astype(np.uint64) << np.uint64(48)) | (self.hash >> np.uint64(16))
-        span = end - i
-        best = np.arange(n)
-        out, level, width = np.zeros(len(i), np.int64), 0, 1
-        while True:
-            here = (span >= width) & (span < 2 * width)
-            a, b = best[i[here]], best[end[here] - width]
-            out[here] = np.where(rank[b] > rank[a], b, a)
-            if width * 2 > span.max():
-                return np.unique(out)
-            other = np.append(best[width:], np.full(min(width, n), n - 1))[:n]
-            best = np.where(rank[other] > rank[best], other, best)
-            width *= 2
-
-
     def windows(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first, last, hash) of the shortest windows of ``least`` words or more that begin at a unit, and of those that end at one, each once."""
         n = len(self.first)

@@ -86,3 +86,16 @@ def test_token_counts(spark):
     n = whole(tokens.load(public_tokenizers.path("byte_bpe_50k.json")), "hello " * 600)
     assert got == [(1, 0, 0, False), (2, 0, 0, False), (3, 3600, n, True), (3, 3600, n, True)]
     assert tokens.token_counts(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_all_ways_of_counting_agree_on_a_whole_table():
+    """The library, the twin and overlapping chunks of a few kB, over every document of sf0.01."""
+    import duckdb
+    import public_tokenizers
+
+    tok = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    library = [len(e.ids) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    assert tokens.count_tokens(tok, texts) == library
+    assert tokens.count_tokens(tok, texts, huge=0, chunk=3000, overlap=128) == library
+    assert sum(len(t) > 3000 for t in texts) > 100

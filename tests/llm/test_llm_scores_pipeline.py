@@ -114,6 +114,56 @@ def test_toxicity(spark):
     assert [s["sentence"] for s in found[0]["offending"]] == ["You zonk you"] and found[1]["offending"] == []
 
 
+def plain_fit(texts, labels, weights):
+    """Training word by word: (weight of each feature, bias), features being words and their beginnings."""
+    import re
+
+    def features(word):
+        return [word, *(f"{word[:n]}*" for n in toxicity.PREFIXES if len(word) > n)]
+
+    docs = [[[f for w in re.findall("[0-9a-z]+", s) for f in features(w)] for s in re.split(r"[.!?]\s|\n", t.lower())] for t in texts]
+    ones, zeros = sum(labels), len(labels) - sum(labels)
+    holds = {}
+    for d, y in zip(docs, labels):
+        for f in {f for s in d for f in s}:
+            holds.setdefault(f, []).append(y)
+    theta = {}
+    for f, ys in holds.items():
+        p = len(ys) / len(docs)
+        spread = math.sqrt(p * (1 - p) * (1 / ones + 1 / zeros))
+        if len(ys) >= toxicity.LEAST_ROWS and spread and (sum(ys) / ones - (len(ys) - sum(ys)) / zeros) / spread >= toxicity.LEAST_Z:
+            theta[f] = 0.0
+    docs = [[[f for f in s if f in theta] for s in d] for d in docs]
+    bias, g2, b2, total = -2.0, dict.fromkeys(theta, 1e-8), 1e-8, sum(weights)
+    for _ in range(toxicity.EPOCHS):
+        grad, gb = dict.fromkeys(theta, 0.0), 0.0
+        for d, y, w in zip(docs, labels, weights):
+            p = [1 / (1 + math.exp(-(bias + sum(theta[f] for f in s)))) for s in d if s]
+            toxic = max(1 - (1 - toxicity.LEAK) * math.prod(1 - x for x in p), 1e-9)
+            pull = w / total * (-(1 - toxic) / toxic if y else 1.0)
+            for x, s in zip(p, [s for s in d if s]):
+                gb += x * pull
+                for f in s:
+                    grad[f] += x * pull
+        for f in theta:
+            g2[f] += grad[f] ** 2
+            step = toxicity.RATE / math.sqrt(g2[f])
+            moved = theta[f] - step * grad[f]
+            theta[f] = math.copysign(max(abs(moved) - step * toxicity.L1 * 0.1, 0), moved)
+        b2 += gb**2
+        bias -= toxicity.RATE / math.sqrt(b2) * gb
+    return theta, bias
+
+
+def test_training_against_brute_force():
+    texts, y = toxic_texts(6, 120)
+    weights = np.array([1.0 if v else 2.5 for v in y])
+    model = toxicity.fit([t.encode() for t in texts], np.array(y), weights)
+    theta, bias = plain_fit(texts, y, weights.tolist())
+    assert model.bias == pytest.approx(bias) and len(theta) > 1
+    assert sorted(model.weights[model.weights != 0].tolist()) == pytest.approx(sorted(v for v in theta.values() if v), rel=1e-4)
+
+
 def test_noisy_or_is_exact():
     texts, y = toxic_texts(2, 300)
     model = toxicity.fit([t.encode() for t in texts], np.array(y), np.ones(300))
