@@ -104,17 +104,19 @@ def cyclic_partner(df: DataFrame, keys: list[str], order: list[Column], text: st
     return rows.withColumn("partner", F.coalesce("_next", wrapped)).drop("_new", "_run", "_next", "_first", "_second")
 
 
-#: Centroids that are broadcast, after counting them.
+#: Centroids that are fetched and broadcast; where there are more, they are joined.
 CENTROIDS = 5_000
 
 
 def nearest(rows: DataFrame, centroids: DataFrame, key: str, vector: str, centroid: str, center: str, within: list[str] | None = None) -> DataFrame:
     """(key, centroid, similarity): the centroid of greatest cosine, the smallest name of equals.
 
-    Up to ``CENTROIDS`` of them, counted first, are broadcast as one array (of each group) and compared within the row, so nothing is shuffled; more are
+    Up to ``CENTROIDS`` of them are fetched and broadcast as one array (of each group) and compared within the row, so nothing is shuffled; more are
     joined.
     """
-    if centroids.limit(CENTROIDS + 1).count() <= CENTROIDS:
+    few = centroids.limit(CENTROIDS + 1).collect()  # once, as they may be dear to compute
+    if len(few) <= CENTROIDS:
+        centroids = rows.sparkSession.createDataFrame(few, centroids.schema)
         told = F.collect_list(F.struct(F.col(centroid).alias("name"), arrays.unit(F.col(center)).alias("c"))).alias("_all")
         lists = centroids.groupBy(*(within or [])).agg(told)
         met = rows.withColumn("_u", arrays.unit(F.col(vector)))
