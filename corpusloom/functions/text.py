@@ -125,11 +125,11 @@ def file_key(path: Column, size: int = 16) -> Column:
     return F.substring(F.sha1(path), 1, size)
 
 
-def short_name(run: Column, prefix: str, constants: tuple[str, ...] = ()) -> Column:
-    """A run's name without the prefix and the parts that all runs share."""
-    out = F.regexp_replace(run, "^" + prefix, "")
-    for part in constants:
-        out = F.replace(out, F.lit(part), F.lit(""))
+def short_name(run: Column, prefix: str, constants: tuple[str, ...] = ("-wd0.01", "lr0.001-"), spaced: tuple[str, ...] = ("mlr", "lr")) -> Column:
+    """A run's name without the prefix, the separator after it and the parts that all runs share; a space follows each of ``spaced``, in order."""
+    out = F.when(F.startswith(run, F.lit(prefix)), F.substring(run, len(prefix) + 2, 1_000_000_000)).otherwise(run)
+    for old, new in [*((c, "") for c in constants), *((c, c + " ") for c in spaced)]:
+        out = F.replace(out, F.lit(old), F.lit(new))
     return out
 
 

@@ -37,6 +37,11 @@ def test_paths(spark):
     assert one(spark, texts.token_path_styled(F.col("a"), F.lit("t"), {"t": "_trim_tok", "u": "_u"}), a="f/b.mp3") == "f_trim_tok/b.json"
 
 
+def test_short_names(spark):
+    assert one(spark, texts.short_name(F.col("a"), "ab.*"), a="ab.*-lr0.001-mlr0.02-wd0.01") == "mlr  0.02"
+    assert one(spark, texts.short_name(F.col("a"), "ab"), a="xlr2") == "xlr 2"
+
+
 def test_labels(spark):
     label, language, script = texts.label_parts(F.col("a"))
     assert [one(spark, c, a="__label__zh_x_Hans") for c in (label, language, script)] == ["zh_x_Hans", "zh_x", "Hans"]
