@@ -30,6 +30,20 @@ def resampled_frames(frames: Column, rate: Column) -> Column:
     return F.coalesce(trimmed(F.floor(frames * RATE / F.nullif(rate, F.lit(0)))), F.lit(0).cast("long"))
 
 
+def mono(channels: Column) -> Column:
+    """One signal (ARRAY<FLOAT>) of an array of channels: their mean, sample by sample, as long as the longest; null of none. Decoding and resampling to
+    ``RATE`` come before, by functions of the caller (``registry.model_column``)."""
+    n = F.array_max(F.transform(channels, lambda x: F.size(x)))
+    mean = lambda i: F.aggregate(channels, F.lit(0.0), lambda s, x: s + F.coalesce(F.get(x, i), F.lit(0.0))) / F.size(channels)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: mean(i).cast("float"))).when(n == 0, F.array().cast("array<float>"))
+
+
+def fitted(signal: Column, samples: Column) -> Column:
+    """A signal cut, or filled up with zeros, to exactly so many samples, so that its positions are those that were packed."""
+    n = samples.cast("int")
+    return F.concat(F.slice(signal, F.lit(1), n), F.array_repeat(F.lit(0.0).cast("float"), F.greatest(n - F.size(signal), F.lit(0))))
+
+
 def position_ids(lengths: Column) -> Column:
     """0..n-1 for each document of a block."""
     return F.flatten(F.transform(lengths, lambda n: F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))))

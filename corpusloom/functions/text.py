@@ -61,7 +61,11 @@ def without_extension(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[^./]*$", "")
 
 
-def token_path(path: Column, suffix: str = "_neucodec", extension: str = ".json") -> Column:
+#: How the folders of speech tokens end (fixed value).
+TOKEN_SUFFIX = "_neucodec"
+
+
+def token_path(path: Column, suffix: str = TOKEN_SUFFIX, extension: str = ".json") -> Column:
     """``folder/rest.ext`` as ``folder<suffix>/rest<extension>``; null without a folder."""
     return F.concat(folder(path), F.lit(f"{suffix}/"), without_extension(below_folder(path)), F.lit(extension))
 
@@ -101,7 +105,7 @@ def rebase(path: Column, root: str) -> Column:
 def archive_member(path: Column, ending: str = "_trim", extension: str = ".mp3") -> tuple[Column, Column]:
     """(archive, member) of an audio path's tokens: the first folder that ends so names the archive, what is below it the member; null for other files."""
     pattern = rf"^(?:[^/]*/)*?([^/]*{ending})/(.*)\{extension}$"
-    top = F.concat(F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")), F.lit("_neucodec"))
+    top = F.concat(F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")), F.lit(TOKEN_SUFFIX))
     return F.concat(top, F.lit(".zip")), F.concat(top, F.lit("/"), F.regexp_extract(path, pattern, 2), F.lit(".json"))
 
 
@@ -359,3 +363,9 @@ def tidy_space(c: Column) -> Column:
 def collapse_marks(c: Column) -> Column:
     """A run of one mark as one; exactly two dots as one."""
     return F.regexp_replace(F.regexp_replace(c, r"([!?。！？，、,])\1+", "$1"), r"(?<!\.)\.\.(?!\.)", ".")
+
+
+def language_prompt(c: Column, language: Column, space: str = "[SPACE]") -> Column:
+    """``[xx]`` before a text where its language is known, and a mark of its own for each space: what a tokenizer of many languages is given."""
+    told = F.when(F.coalesce(language, F.lit("")) != "", F.concat(F.lit("["), F.lower(language), F.lit("]"), c)).otherwise(c)
+    return F.replace(told, F.lit(" "), F.lit(space))

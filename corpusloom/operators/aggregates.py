@@ -71,9 +71,41 @@ def label_audit(df: DataFrame, group: str, label: str, macro: str, prob: str, ma
 # --- bins -------------------------------------------------------------------------------------------------------------------------------------
 
 
+def exact_percentiles(df: DataFrame, value: str, points: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+    """(by, p): the exact percentiles at ``points`` (0 to 1) in an array, interpolated between neighbours; nulls and NaN are left out, and no values give an
+    array of nulls (no row of that group with ``by``).
+
+    Equal values are counted before the shuffle, ranges of values are summed apart, and ranks are looked up in the ranges that hold them, so no task holds a
+    group's values, however large it is.
+    """
+    by = by or []
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ranged = counts.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id())
+    sums = ranged.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"), F.min("_v").alias("_low"))
+    whole, rising = W.partitionBy(*by), W.partitionBy(*by).orderBy("_low")  # a row a range
+    marks = sums.select(*by, "_low", F.lead("_low").over(rising).alias("_high"), (F.sum("_size").over(rising) - F.col("_size")).alias("_before"), "_size", F.sum("_size").over(whole).alias("_all"))
+    place = [(F.col("_all") - 1) * F.lit(float(x)) for x in points]
+    holds = F.lit(False)
+    for t in place:
+        holds = holds | ((F.floor(t) < F.col("_before") + F.col("_size")) & (F.ceil(t) >= F.col("_before")))
+    marks = marks.where(holds)
+    marks = marks if by else F.broadcast(marks)  # two rows a point at most
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    inside = (F.col("a._v") >= F.col("b._low")) & (F.col("b._high").isNull() | (F.col("a._v") < F.col("b._high")))
+    for c in same:
+        inside = inside & c
+    met = counts.alias("a").join(marks.alias("b"), inside).select(*[F.col(f"a.{c}").alias(c) for c in by], "_v", "_n", "_low", "_before", "_all")
+    upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*by, "_low").orderBy("_v"))
+    ranked = met.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n"))
+    at = lambda t: F.max(F.when((F.col("_from") <= t) & (t < F.col("_to")), F.col("_v")))
+    picked = ranked.groupBy(*by).agg(F.max("_all").alias("_all"), *[c for k, t in enumerate(place) for c in (at(F.floor(t)).alias(f"_l{k}"), at(F.ceil(t)).alias(f"_h{k}"))])
+    between = [F.when(F.col(f"_l{k}") == F.col(f"_h{k}"), F.col(f"_l{k}")).otherwise((F.ceil(t) - t) * F.col(f"_l{k}") + (t - F.floor(t)) * F.col(f"_h{k}")) for k, t in enumerate(place)]
+    return picked.select(*by, F.array(*between).alias("p"))
+
+
 def bin_edges(df: DataFrame, value: str, bins: int, by: list[str] | None = None, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(by, edges): ``bins``+1 equal steps over the values between two percentiles, NaN left out; equal values widen by half each way."""
-    p = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*(by or [])).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p"))
+    p = exact_percentiles(df, value, (low, high), by)
     a = F.when(F.col("p")[0] == F.col("p")[1], F.col("p")[0] - 0.5).otherwise(F.col("p")[0])
     b = F.when(F.col("p")[0] == F.col("p")[1], F.col("p")[1] + 0.5).otherwise(F.col("p")[1])
     return p.select(*(by or []), F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: a + (b - a) * i / bins).alias("edges"))
@@ -131,6 +163,6 @@ def threshold_sweep(df: DataFrame, score: str, positive: str, thresholds: tuple[
 
 
 def percentiles(df: DataFrame, value: str, points: tuple[int, ...] = (10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
-    """(percentile, value)."""
-    p = df.agg(F.percentile(value, F.array(*[F.lit(x / 100) for x in points])).alias("p"))
+    """(percentile, value); null values if there are none."""
+    p = exact_percentiles(df, value, tuple(x / 100 for x in points))
     return p.select(F.posexplode("p").alias("i", "value")).select(F.get(F.array(*[F.lit(x) for x in points]), "i").alias("percentile"), "value")

@@ -45,16 +45,20 @@ def group_advantage(df: DataFrame, group: str, reward: str, epsilon: float = 1e-
 
 
 def run_summaries(logs: DataFrame, run: str, step: str, loss: str, tasks: dict[str, str], last: int = 10) -> DataFrame:
-    """One row a run: final loss, mean of the last ``last``, per task final, least and number of points, and the mean final over tasks."""
+    """One row a run: final and least loss, mean of the last ``last``, number of logged steps, per task final, least and number of points, and the means
+    of finals and of least losses over tasks that have any."""
     trained = logs.where(F.col(loss).isNotNull()).withColumn("_r", F.row_number().over(W.partitionBy(run).orderBy(F.desc(step))))
-    base = trained.groupBy(run).agg(F.max_by(loss, step).alias("final_loss"), F.avg(F.when(F.col("_r") <= last, F.col(loss))).alias("last_mean_loss"))
+    base = trained.groupBy(run).agg(
+        F.max_by(loss, step).alias("final_loss"), F.avg(F.when(F.col("_r") <= last, F.col(loss))).alias("last_mean_loss"), F.min(loss).alias("min_loss"), F.count("*").alias("steps_logged")
+    )
     sums = []
     for name, column in tasks.items():
         seen = F.col(column).isNotNull()
         sums += [F.max_by(column, F.when(seen, F.col(step))).alias(f"{name}_final"), F.min(column).alias(f"{name}_min"), F.count(column).alias(f"{name}_points")]
     dev = logs.groupBy(run).agg(*sums)
-    finals = F.array_compact(F.array(*[F.col(f"{n}_final") for n in tasks]))
-    dev = dev.withColumn("dev_mean", F.when(F.size(finals) > 0, F.aggregate(finals, F.lit(0.0), lambda s, x: s + x) / F.size(finals)))
+    for name, kind in (("dev_mean", "final"), ("dev_min_mean", "min")):
+        present = F.array_compact(F.array(*[F.col(f"{n}_{kind}") for n in tasks]))
+        dev = dev.withColumn(name, F.when(F.size(present) > 0, F.aggregate(present, F.lit(0.0), lambda s, x: s + x) / F.size(present)))
     return base.join(dev, run, "full")
 
 

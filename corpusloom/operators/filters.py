@@ -114,10 +114,14 @@ def acceptable_text(c: Column, least_words: int = 20, n: int = 5, most_repeats:
     return F.coalesce(ok & ~F.contains(body, F.lit("**")) if bold else ok, F.lit(False))
 
 
-def token_funnel(tokens: Column, body: Column, seconds: Column, least: int = 50, most: int = 1500) -> tuple[tuple[str, Column], ...]:
-    """The steps of a test set: number of tokens, words, unreadable audio, a length that the tokens deny."""
+def token_funnel(tokens: Column, body: Column, seconds: Column, least: int = 50, most: int = 1500, audio_bytes: Column | None = None) -> tuple[tuple[str, Column], ...]:
+    """The steps of a test set: a member that wasn't found (null tokens), empty audio (if ``audio_bytes`` are given), number of tokens, words, unreadable
+    audio, a length that the tokens deny."""
     told = tokens / 50.0
+    empty = (("empty_audio", F.coalesce(audio_bytes, F.lit(0)) == 0),) if audio_bytes is not None else ()
     return (
+        ("no_member", tokens.isNull()),
+        *empty,
         ("token_length", ~tokens.between(least, most)),
         ("wordy", wordier_than(body, tokens)),
         ("unreadable", seconds.isNull()),

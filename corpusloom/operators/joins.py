@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays
+from corpusloom.functions import text as texts
+from corpusloom.operators import filters
 
 
 def inner_lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -46,13 +48,24 @@ def hard_negatives(mined: DataFrame, verified: DataFrame, on: list[str]) -> Data
     return mined.join(verified, on, "left_anti")
 
 
+#: Rows of a key that one task compares with the key's others.
+KEY_ROWS = 2_000
+
+
 def similar_pairs(vectors: DataFrame, keys: list[str], order: str, vector: str, least: float = 0.88, text: str | None = None, least_chars: int = 5) -> DataFrame:
     """(keys, a, b, similarity): pairs within a key whose cosine is ``least`` at least, both ways round; with ``text``, only of different
-    texts of ``least_chars`` characters. A key's rows are compared with each other, upper triangle only; norms are computed once a row."""
+    texts of ``least_chars`` characters. Null keys are equal; rows without ``order`` have no partners.
+
+    A key's rows are compared with each other, upper triangle only; norms are computed once a row. A key of many rows is dealt out: its rows are salted
+    into parts of about ``KEY_ROWS``, and each part meets all rows of the key, so no one task has the whole square.
+    """
     rows = vectors if text is None else vectors.where(F.length(text) >= least_chars)
+    parts = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.ceil(F.count("*") / KEY_ROWS).cast("int").alias("_parts"))
     rows = rows.select(*keys, F.col(order).alias("k"), arrays.unit(F.col(vector), 0.0).alias("u"), *([F.col(text).alias("t")] if text else []))
-    a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.k") < F.col("b.k")) & F.expr(" AND ".join(f"a.`{k}` <=> b.`{k}`" for k in keys))
+    sized = rows.join(parts, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    a = sized.withColumn("_part", F.pmod(F.xxhash64("k"), F.col("_parts")).cast("int")).alias("a")
+    b = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("b")
+    on = (F.col("a._part") == F.col("b._part")) & (F.col("a.k") < F.col("b.k")) & F.expr(" AND ".join(f"a.`{k}` <=> b.`{k}`" for k in keys))
     if text:
         on = on & (F.col("a.t") != F.col("b.t"))
     near = a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.k").alias("a"), F.col("b.k").alias("b"), arrays.dot(F.col("a.u"), F.col("b.u")).alias("similarity")).where(F.col("similarity") >= least)
@@ -60,6 +73,22 @@ def similar_pairs(vectors: DataFrame, keys: list[str], order: str, vector: str,
     return near.select(*keys, both.alias("p"), "similarity").select(*keys, F.col("p.x").alias("a"), F.col("p.y").alias("b"), "similarity")
 
 
+def archive_index(files: DataFrame, name: str) -> DataFrame:
+    """(folder, audio, tokens): of the zip files that a listing names, each folder's audio archives, its ``-<number>-<number>`` shards among them, and its token
+    archive (the last by name); null or empty where there is none."""
+    stem = F.regexp_extract(name, r"^(.*)\.zip$", 1)
+    told = files.where(F.endswith(name, F.lit(".zip"))).select(F.col(name).alias("_f"), stem.alias("_s"), F.endswith(stem, F.lit(texts.TOKEN_SUFFIX)).alias("_t"))
+    folder = F.when(F.col("_t"), F.substring(F.col("_s"), F.lit(1), F.length("_s") - len(texts.TOKEN_SUFFIX))).otherwise(texts.shard_base(F.col("_s")))
+    return told.groupBy(folder.alias("folder")).agg(F.array_sort(F.collect_set(F.when(~F.col("_t"), F.col("_f")))).alias("audio"), F.max(F.when(F.col("_t"), F.col("_f"))).alias("tokens"))
+
+
+def eligible(df: DataFrame, index: DataFrame, path: str, text: str) -> DataFrame:
+    """Rows in a folder that has both audio and token archives, with a text long enough to judge its language."""
+    whole = index.where((F.size("audio") > 0) & F.col("tokens").isNotNull()).select(F.col("folder").alias("_folder"))
+    fit = df.where(filters.enough_text(texts.strip(F.col(text)))).withColumn("_folder", texts.folder(F.col(path)))
+    return fit.join(whole, "_folder", "left_semi").select(*df.columns)
+
+
 def interval_overlap(events: DataFrame, words: DataFrame, file: str, event: str, onset: str, offset: str, start: str, end: str, width: float = 60.0) -> DataFrame:
     """Events plus ``overlap``, the seconds that words of their file cover. Both sides are cut into bins of ``width`` seconds, so the join
     is on equal keys and a long file doesn't meet itself whole."""

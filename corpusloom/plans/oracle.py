@@ -291,8 +291,8 @@ SELECT doc_id, CAST(greatest(1, CAST(trunc(floor(n_chars * 160 / 16000) - 9.01::
     "run_summaries": f"""
 WITH {FRAMES},
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY frame DESC) AS r FROM f),
-m AS (SELECT user_id, max_by(value, frame) AS fl, avg(CASE WHEN r <= 10 THEN value END) AS lm, max_by(value, frame) FILTER (event_type = 'click') AS cf, min(value) FILTER (event_type = 'click') AS cm, count(*) FILTER (event_type = 'click') AS cp FROM r GROUP BY user_id)
-SELECT user_id, round(fl, 6) AS final_loss, round(lm, 6) AS last_mean_loss, round(cf, 6) AS click_final, round(cm, 6) AS click_min, cp AS click_points, round(cf, 6) AS dev_mean FROM m""",
+m AS (SELECT user_id, max_by(value, frame) AS fl, avg(CASE WHEN r <= 10 THEN value END) AS lm, min(value) AS ml, count(*) AS sl, max_by(value, frame) FILTER (event_type = 'click') AS cf, min(value) FILTER (event_type = 'click') AS cm, count(*) FILTER (event_type = 'click') AS cp FROM r GROUP BY user_id)
+SELECT user_id, round(fl, 6) AS final_loss, round(lm, 6) AS last_mean_loss, round(ml, 6) AS min_loss, sl AS steps_logged, round(cf, 6) AS click_final, round(cm, 6) AS click_min, cp AS click_points, round(cf, 6) AS dev_mean, round(cm, 6) AS dev_min_mean FROM m""",
     "heat_map": """
 WITH m AS (SELECT source, lang, avg(n_chars) AS a FROM documents GROUP BY ALL)
 SELECT source, round(max(a) FILTER (lang = 'de'), 4) AS de, round(max(a) FILTER (lang = 'en'), 4) AS en, round(max(a) FILTER (lang = 'es'), 4) AS es, round(max(a) FILTER (lang = 'fr'), 4) AS fr, round(avg(a), 4) AS mean FROM m GROUP BY source""",

@@ -540,7 +540,7 @@ def window_counts(spark, root):
 def run_summaries(spark, root):
     e = numbered_events(spark, root).withColumn("dev", F.when(F.col("event_type") == "click", F.col("value")))
     out = evaluation.run_summaries(e, "user_id", "frame", "value", {"click": "dev"})
-    return out.select("user_id", F.round("final_loss", 6).alias("final_loss"), F.round("last_mean_loss", 6).alias("last_mean_loss"), F.round("click_final", 6).alias("click_final"), F.round("click_min", 6).alias("click_min"), "click_points", F.round("dev_mean", 6).alias("dev_mean"))
+    return out.select("user_id", F.round("final_loss", 6).alias("final_loss"), F.round("last_mean_loss", 6).alias("last_mean_loss"), F.round("min_loss", 6).alias("min_loss"), "steps_logged", F.round("click_final", 6).alias("click_final"), F.round("click_min", 6).alias("click_min"), "click_points", F.round("dev_mean", 6).alias("dev_mean"), F.round("dev_min_mean", 6).alias("dev_min_mean"))
 
 
 @query

@@ -45,9 +45,9 @@ def with_subset(df: DataFrame) -> DataFrame:
     return df.withColumn("subset", subset(F.col("_metadata.file_path")))
 
 
-def head(df: DataFrame, n: int, order: str) -> tuple[DataFrame, int]:
-    """(the first rows in order, the number of all rows)."""
-    return df.orderBy(order).limit(n), df.count()
+def head(df: DataFrame, n: int, order: str) -> tuple[DataFrame, DataFrame]:
+    """(the first rows in order, one row with the number of all): each task keeps ``n`` rows, and counting reads footers where the source can."""
+    return df.orderBy(order).limit(n), row_counts(df)
 
 
 def first_per_file(df: DataFrame, file: str, position: str, value: str) -> DataFrame:
@@ -61,11 +61,14 @@ def row_counts(df: DataFrame, file: str | None = None) -> DataFrame:
 
 
 def indexed(df: DataFrame, order: str) -> DataFrame:
-    """Adds ``row``, a position from 0 for random access: ranges are ranked apart and shifted by the rows before them, so no one task sorts all."""
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    """Adds ``row``, a position from 0 for random access: ranges are ranked apart and shifted by the rows before them, so no one task sorts all.
+    Nulls come first, as one range; rows that are equal in ``order`` follow each other in no stated order."""
+    ranged = df.repartitionByRange(F.col(order)).withColumn("_p", F.when(F.col(order).isNull(), -1).otherwise(F.spark_partition_id()))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min(order).alias("_low"))
-    before = counts.select("_low", (F.sum("_n").over(W.orderBy("_low")) - F.col("_n")).alias("_before"), F.lead("_low").over(W.orderBy("_low")).alias("_high"))
-    joined = df.join(F.broadcast(before), (F.col(order) >= F.col("_low")) & (F.col("_high").isNull() | (F.col(order) < F.col("_high"))))  # a row a partition
+    by_low = W.orderBy(F.col("_low").asc_nulls_first())  # a row a partition
+    before = counts.select("_low", (F.sum("_n").over(by_low) - F.col("_n")).alias("_before"), F.lead("_low").over(by_low).alias("_high"))
+    inside = (F.col(order) >= F.col("_low")) & (F.col("_high").isNull() | (F.col(order) < F.col("_high")))
+    joined = df.join(F.broadcast(before), inside | (F.col(order).isNull() & F.col("_low").isNull()))
     place = F.row_number().over(W.partitionBy("_low").orderBy(order)) - 1
     return joined.withColumn("row", F.col("_before") + place).drop("_low", "_before", "_high")
 
@@ -92,53 +95,155 @@ def json_folder(spark: SparkSession, path: str, schema: str | None = None, patte
     return df.withColumn("source", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
-def audio_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".wav", ".mp3", ".flac"), done: DataFrame | None = None) -> DataFrame:
-    """(path, length) of audio files below a folder that aren't done; contents aren't read."""
+def audio_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".wav", ".mp3", ".flac"), done: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(path, length) of audio files below a folder that aren't done; the first ``limit`` by path if given. Contents aren't read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     df = df.where(F.lower("path").rlike("(" + "|".join(re.escape(e) for e in extensions) + ")$"))
-    return df if done is None else df.join(done.select("path"), "path", "left_anti")
+    left = df if done is None else df.join(done.select("path"), "path", "left_anti")
+    return left if limit is None else left.orderBy("path").limit(limit)
 
 
 # --- archives ----------------------------------------------------------------------------------------------------------------------------------
 
+#: Bytes and rows of a batch of members; one member that is longer is a batch of its own.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 256
+
+
+def opened(address: str):
+    """A file of any storage that Arrow knows (local, S3, GCS, HDFS), opened for reads at any place."""
+    from pyarrow import fs
+
+    if address.startswith("file:"):
+        address = "/" + address[5:].lstrip("/")
+    if address.startswith("/"):
+        return fs.LocalFileSystem().open_input_file(address)
+    store, path = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", address))
+    return store.open_input_file(path)
+
+
+def read_range(address: str, offset: int, size: int) -> bytes:
+    """Up to ``size`` bytes of a file from ``offset`` on."""
+    with opened(address) as f:
+        f.seek(offset)
+        return f.read(size)
+
+
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, length) of the files that a glob names; their contents aren't read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "length")
+
+
+class _Ranges(io.RawIOBase):
+    """A file of known length over a function that reads ranges of it."""
+
+    def __init__(self, fetch: Callable[[str, int, int], bytes], name: str, length: int):
+        self.fetch, self.address, self.length, self.at = fetch, name, length, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.at = offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.at, io.SEEK_END: self.length}[whence]
+        return self.at
+
+    def tell(self) -> int:
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        size = max(0, min(len(buffer), self.length - self.at))
+        data = self.fetch(self.address, self.at, size) if size else b""
+        buffer[: len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+
+def zip_directory(archives: DataFrame, fetch: Callable[[str, int, int], bytes] = read_range) -> DataFrame:
+    """(archive, member, offset, compressed, size) of every member of the zip archives (archive, length): the central directories alone are read.
+    A broken archive has no members and costs itself alone."""
 
-def _members(spark: SparkSession, path: str, unpack: Callable[[bytes], list[tuple[str, bytes]]]) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("compressed", pa.int64()), ("size", pa.int64())])
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for name, length in zip(batch.column("archive").to_pylist(), batch.column("length").to_pylist(), strict=True):
                 try:
-                    found = unpack(content)
-                except (zipfile.BadZipFile, tarfile.TarError, EOFError, zlib.error, OSError):
-                    found = []  # a broken archive costs itself alone
-                for at in range(0, len(found), 256):
-                    part = found[at : at + 256]
-                    yield pa.RecordBatch.from_pydict({"archive": [name] * len(part), "member": [m for m, _ in part], "content": [c for _, c in part]})
+                    with zipfile.ZipFile(io.BufferedReader(_Ranges(fetch, name, length), 1 << 16)) as z:
+                        found = [(name, i.filename, i.header_offset, i.compress_size, i.file_size) for i in z.infolist() if not i.is_dir()]
+                except (zipfile.BadZipFile, EOFError, OSError):
+                    found = []
+                for at in range(0, len(found), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found[at : at + 10_000]), schema, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, content binary")
+    return archives.select("archive", "length").mapInArrow(run, "archive string, member string, offset bigint, compressed bigint, size bigint")
 
 
-def zip_members(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(archive, member, content) of the zip archives that a glob names; only ``wanted`` members if given."""
+def zip_members(spark: SparkSession, path: str, wanted: DataFrame | None = None, fetch: Callable[[str, int, int], bytes] = read_range) -> DataFrame:
+    """(archive, member, content) of the zip archives that a glob names; of ``wanted`` members, (member) or (archive, member), if given: only their
+    ranges are read. Members that can't be read are left out, as broken archives are; ``missing_members`` counts what wasn't found."""
+    listed = zip_directory(archives(spark, path), fetch)
+    if wanted is not None:
+        listed = listed.join(wanted, wanted.columns, "left_semi")
+    return range_members(spark, listed, fetch).where(F.col("error").isNull()).drop("error")
 
-    def unpack(raw: bytes) -> list[tuple[str, bytes]]:
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
-            return [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
 
-    df = _members(spark, path, unpack)
-    return df if wanted is None else df.join(wanted.select("member"), "member", "left_semi").select("archive", "member", "content")
+def missing_members(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: (wanted, missing), the members asked for and those of them that ``found`` doesn't have."""
+    seen = found.select(*wanted.columns).distinct().withColumn("_seen", F.lit(True))
+    return wanted.distinct().join(seen, wanted.columns, "left").agg(F.count("*").alias("wanted"), F.count_if(F.col("_seen").isNull()).alias("missing"))
 
 
-def tar_members(spark: SparkSession, path: str, wanted: DataFrame | None = None, flat: bool = True) -> DataFrame:
-    """(archive, member, content) of tar archives, compressed or not; names without folders if ``flat``."""
+def _batched(rows, schema):
+    """Record batches of bounded bytes from an iterator of dicts with a ``content``."""
+    import pyarrow as pa
+
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += len(row["content"] or b"")
+        if held >= BATCH_BYTES or len(part) >= BATCH_ROWS:
+            yield pa.RecordBatch.from_pylist(part, schema)
+            part, held = [], 0
+    if part:
+        yield pa.RecordBatch.from_pylist(part, schema)
+
 
-    def unpack(raw: bytes) -> list[tuple[str, bytes]]:
-        with tarfile.open(fileobj=io.BytesIO(raw)) as t:
-            return [(m.name.rpartition("/")[2] if flat else m.name, t.extractfile(m).read()) for m in t if m.isfile()]
+def tar_members(spark: SparkSession, path: str, wanted: DataFrame | None = None, flat: bool = True) -> DataFrame:
+    """(archive, member, content) of tar archives, compressed or not; names without folders if ``flat``. With ``wanted`` members, (member) or (archive,
+    member), a first pass lists names and a second one reads those alone. Archives are streams: a task holds a member, not the archive; of a broken one the
+    members before the damage count."""
 
-    df = _members(spark, path, unpack)
-    return df if wanted is None else df.join(wanted.select("member"), "member", "left_semi").select("archive", "member", "content")
+    def walk(name: str, keep: set[str] | None, content: bool):
+        try:
+            with opened(name) as f, tarfile.open(fileobj=f, mode="r|*") as t:
+                for m in t:
+                    told = m.name.rpartition("/")[2] if flat else m.name
+                    if m.isfile() and (keep is None or told in keep):
+                        yield {"archive": name, "member": told, "content": t.extractfile(m).read() if content else None}
+        except (tarfile.TarError, EOFError, zlib.error, OSError):
+            return
+
+    def reading(content: bool, chosen: bool):
+        def run(batches):
+            import pyarrow as pa
+
+            schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("content", pa.binary())])
+            for batch in batches:
+                names = batch.column("archive").to_pylist()
+                keeps = [set(k) for k in batch.column("members").to_pylist()] if chosen else [None] * len(names)
+                for name, keep in zip(names, keeps, strict=True):
+                    yield from _batched(walk(name, keep, content), schema)
+
+        return run
+
+    kind, files = "archive string, member string, content binary", archives(spark, path).select("archive")
+    if wanted is None:
+        return files.mapInArrow(reading(True, False), kind)
+    named = files.mapInArrow(reading(False, False), kind).select("archive", "member").join(wanted, wanted.columns, "left_semi")
+    return named.groupBy("archive").agg(F.collect_set("member").alias("members")).mapInArrow(reading(True, True), kind)
 
 
 def samples_of(members: DataFrame) -> DataFrame:
@@ -168,27 +273,91 @@ def zip_member(blob: bytes, compressed: int, size: int) -> bytes:
     return out
 
 
-def range_members(spark: SparkSession, ranges: DataFrame, fetch: Callable[[str, int, int], bytes]) -> DataFrame:
-    """(archive, member, content, error) of members named by (archive, member, offset, compressed, size); ``fetch(archive, offset, bytes)`` reads a
-    range from wherever archives are. A failure is told in its row."""
+def range_members(spark: SparkSession, ranges: DataFrame, fetch: Callable[[str, int, int], bytes] = read_range) -> DataFrame:
+    """(archive, member, content, error) of members named by (archive, member, offset, compressed, size), as ``zip_directory`` lists them;
+    ``fetch(archive, offset, bytes)`` reads a range from wherever archives are. A failure is told in its row."""
+
+    def read(r: dict) -> bytes:
+        guess = 30 + len(r["member"].encode()) + 512 + r["compressed"]
+        blob = fetch(r["archive"], r["offset"], guess)
+        if len(blob) >= 30:
+            need = 30 + sum(struct.unpack_from("<HH", blob, 26)) + r["compressed"]
+            blob = blob if len(blob) >= need else fetch(r["archive"], r["offset"], need)  # long extra fields
+        return zip_member(blob, r["compressed"], r["size"])
 
     def run(batches):
         import pyarrow as pa
 
+        def told(r: dict) -> dict:
+            try:
+                return {"archive": r["archive"], "member": r["member"], "content": read(r), "error": None}
+            except (ValueError, OSError, zlib.error, struct.error) as e:
+                return {"archive": r["archive"], "member": r["member"], "content": None, "error": str(e)}
+
+        schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("content", pa.binary()), ("error", pa.string())])
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                content = error = None
-                try:
-                    content = zip_member(fetch(r["archive"], r["offset"], 30 + 2 * 65_535 + r["compressed"]), r["compressed"], r["size"])
-                except (ValueError, OSError, zlib.error) as e:
-                    error = str(e)
-                rows.append({"archive": r["archive"], "member": r["member"], "content": content, "error": error})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("archive", pa.string()), ("member", pa.string()), ("content", pa.binary()), ("error", pa.string())]))
+            yield from _batched((told(r) for r in batch.to_pylist()), schema)
 
     return ranges.mapInArrow(run, "archive string, member string, content binary, error string")
 
 
+# --- token tensors -------------------------------------------------------------------------------------------------------------------------------
+
+#: Storage classes of saved tensors, as struct formats (fixed values).
+STORAGES = {"ByteStorage": "B", "CharStorage": "b", "ShortStorage": "h", "IntStorage": "i", "LongStorage": "q"}
+
+
+def tensor_codes(raw: bytes, key: str = "codes") -> list[int]:
+    """The integers of a saved tensor, or of that under ``key`` of a saved dict, flattened: a zip with a pickle and raw storages. The pickle may name
+    nothing but tensors of whole numbers; anything else raises ``ValueError``."""
+    import pickle
+
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        where = next((n for n in z.namelist() if n.endswith("/data.pkl") or n == "data.pkl"), None)
+        if where is None:
+            raise ValueError("no saved tensor")
+        root = where[: -len("data.pkl")]
+
+        def tensor(storage, offset, size, stride, *_):
+            out = [offset]
+            for n, step in zip(size, stride, strict=True):
+                out = [i + k * step for i in out for k in range(n)]
+            return [storage[i] for i in out]
+
+        class Reader(pickle.Unpickler):
+            def find_class(self, module, name):
+                if (module, name) == ("torch._utils", "_rebuild_tensor_v2"):
+                    return tensor
+                if module == "torch" and name in STORAGES:
+                    return STORAGES[name]
+                if (module, name) == ("collections", "OrderedDict"):
+                    return dict
+                raise ValueError(f"{module}.{name} isn't part of a tensor of whole numbers")
+
+            def persistent_load(self, told):
+                _, kind, name, _, n = told
+                return struct.unpack(f"<{n}{kind}", z.read(f"{root}data/{name}"))
+
+        found = Reader(io.BytesIO(z.read(where))).load()
+    return found[key] if isinstance(found, dict) else found
+
+
+def tensors(df: DataFrame, content: str = "content", name: str = "tokens", key: str = "codes") -> DataFrame:
+    """Adds the whole numbers of each saved tensor; null for files that hold none."""
+
+    @F.pandas_udf("array<bigint>")
+    def read(files: pd.Series) -> pd.Series:
+        def one(raw):
+            try:
+                return None if raw is None else tensor_codes(bytes(raw), key)
+            except Exception:  # noqa: BLE001 - a pickle may fail in any way; the row says so by its null
+                return None
+
+        return files.map(one)
+
+    return df.withColumn(name, read(F.col(content)))
+
+
 # --- audio headers -------------------------------------------------------------------------------------------------------------------------------
 
 

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.sources import readers
+
 #: Rows of a metadata shard.
 SHARD_ROWS = 40_000
 
 
-def write_blocks(blocks: DataFrame, path: str, rows: int = 4_096) -> None:
-    """Packed blocks with a hash of their ids, in files of so many rows."""
-    blocks.withColumn("hash", F.xxhash64("input_ids")).write.option("maxRecordsPerFile", rows).parquet(path)
+#: Bytes of a file of packed blocks, and what a token of one takes at most over all its columns.
+FILE_BYTES, TOKEN_BYTES = 256 << 20, 24
+
+
+def write_blocks(blocks: DataFrame, path: str, rows: int = 4_096, block: int = 10_240, most: int = FILE_BYTES) -> None:
+    """Packed blocks with both hashes of their ids, ``sha1`` and ``hash``, in files of so many rows that hold ``most`` bytes before compression."""
+    ids = F.array_join(F.transform("input_ids", lambda t: t.cast("string")), ",")
+    hashed = blocks.withColumn("sha1", F.sha1(ids)).withColumn("hash", F.xxhash64("input_ids"))
+    hashed.write.option("maxRecordsPerFile", max(1, min(rows, most // (TOKEN_BYTES * block)))).parquet(path)
 
 
 def reshard(df: DataFrame, path: str, rows: int = SHARD_ROWS) -> bool:
@@ -32,13 +42,14 @@ def write_ordered(df: DataFrame, path: str, insert: dict[str, tuple[int, Column]
 
 
 def append_new(df: DataFrame, path: str, on: list[str]) -> int:
-    """Append the rows whose keys aren't in the folder yet, as JSON lines; a run that was broken off goes on where it was. Returns their number."""
+    """Append the rows whose keys aren't in the folder yet, as JSON lines; a run that was broken off goes on where it was. Returns their number, counted
+    as they are written."""
     spark = df.sparkSession
     if exists(spark, path):
-        df = df.join(spark.read.schema(df.schema).json(path).select(*on).distinct(), on, "left_anti")
-    before = spark.read.schema(df.schema).json(path).count() if exists(spark, path) else 0
-    df.write.mode("append").json(path)
-    return spark.read.schema(df.schema).json(path).count() - before
+        df = df.join(spark.read.schema(df.schema).json(path).select(*on).distinct(), on, "left_anti").select(*df.columns)
+    written = Observation()
+    df.observe(written, F.count("*").alias("n")).write.mode("append").json(path)
+    return written.get["n"]
 
 
 def cached(df: DataFrame, path: str, on: list[str], compute) -> DataFrame:
@@ -88,6 +99,13 @@ def verified_copy(source: DataFrame, target: DataFrame, name: str, size: str) ->
     return both.agg(F.count("*").alias("files"), F.sum("_a").alias("bytes"), F.count_if(F.col("_b").isNull()).alias("missing"), F.count_if(F.col("_a") != F.col("_b")).alias("wrong"))
 
 
+def publish(create: Callable[[], object], upload: Callable[[], object], sleep: Callable[[float], None] | None = None) -> object:
+    """A folder's upload by functions of the caller, as no client of a hub is part of this package: ``create()`` in up to 10 attempts with waits of 120 s,
+    then ``upload()``, which goes on where it was, in up to 5 with waits of 300 s."""
+    readers.retry(create, (120,), 10, sleep)
+    return readers.retry(upload, (300,), 5, sleep)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

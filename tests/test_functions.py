@@ -141,3 +141,14 @@ def test_numbers(spark):
     assert one(spark, arrays.tiled(F.col("a"), F.lit(5)), a=[1, 2]) == [1, 2, 1, 2, 1]
     assert one(spark, arrays.fluency_label(F.array(F.array(F.lit(0), F.lit(3)), F.array(F.lit(3), F.lit(126))), F.array(F.col("a"), F.lit("block"))), a="fluent") == "00:03:fluent, 03:126:block"
     assert one(spark, arrays.fluency(F.col("a"), F.array(F.lit(0.8), F.lit(0.1)), ("x", "y")), a=0.4) == ["x"]
+
+
+def test_signals_and_language_prompts(spark):
+    df = spark.createDataFrame([([[1.0, 3.0], [3.0, 5.0]], "a B", "KO"), ([[0.5]], "b", ""), ([], "c", None), (None, None, "ja")], "c array<array<float>>, t string, g string")
+    got = df.select(arrays.mono(F.col("c")).alias("m"), texts.language_prompt(F.col("t"), F.col("g")).alias("p")).collect()
+    assert [r["m"] for r in got] == [[2.0, 4.0], [0.5], None, None]
+    assert [r["p"] for r in got] == ["[ko]a[SPACE]B", "b", "c", None]
+    one = spark.createDataFrame([([1.0, 2.0, 3.0], 2), ([1.0], 3), ([], 0)], "m array<float>, n int")
+    assert [r[0] for r in one.select(arrays.fitted(F.col("m"), F.col("n"))).collect()] == [[1.0, 2.0], [1.0, 0.0, 0.0], []]
+    said = spark.createDataFrame([("각", "ko"), ("각", "en"), ("x", "zh"), (None, "ko")], "t string, g string")
+    assert [r[0] for r in said.select(normalizer.converted(F.col("t"), F.col("g"), {"zh": str.upper})).collect()] == ["\u1100\u1161\u11a8", "각", "X", None]

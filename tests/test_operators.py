@@ -285,3 +285,46 @@ def test_bins(spark):
     assert got[0.0] == got[35.0] == "low" and got[36.0] == "mid" and got[100.0] == "high"
     same = aggregates.bin_edges(spark.createDataFrame([(2.0,), (2.0,)], "v double"), "v", 2).first()["edges"]
     assert same == [1.5, 2.0, 2.5]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 101, 1000])
+def test_exact_percentiles(spark, n):
+    rng = np.random.default_rng(n)
+    values = np.round(rng.normal(size=n), 1)  # many ties
+    points = (0.0, 0.05, 0.5, 0.95, 1.0)
+    df = spark.createDataFrame([(int(i % 3), float(v)) for i, v in enumerate(values)] + [(0, None), (1, float("nan"))], "g int, v double")
+    (got,) = rows(aggregates.exact_percentiles(df, "v", points))
+    assert got[0] == [None] * 5 if n == 0 else np.allclose(got[0], np.quantile(values, points), atol=1e-12)
+    grouped = {r["g"]: r["p"] for r in aggregates.exact_percentiles(df, "v", points, ["g"]).collect()}
+    assert set(grouped) == set(range(min(n, 3)))
+    for g, p in grouped.items():
+        assert np.allclose(p, np.quantile(values[g::3], points), atol=1e-12)
+
+
+def test_similar_pairs_of_a_large_key(spark, monkeypatch):
+    monkeypatch.setattr(joins, "KEY_ROWS", 7)
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(60, 4))
+    keys = [None if i % 2 else 1 for i in range(60)]
+    df = spark.createDataFrame([(k, i, [float(x) for x in u]) for i, (k, u) in enumerate(zip(keys, v, strict=True))], "s int, i int, v array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    expected = {(a, b) for a in range(60) for b in range(60) if a != b and keys[a] == keys[b] and u[a] @ u[b] >= 0.6}
+    got = [(r["a"], r["b"]) for r in joins.similar_pairs(df, ["s"], "i", "v", 0.6).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+
+
+def test_archives_of_folders(spark):
+    files = spark.createDataFrame([("a-0-1.zip",), ("a-1-1.zip",), ("a_neucodec.zip",), ("b.zip",), ("c_neucodec.zip",), ("README.md",), (None,)], "f string")
+    index = joins.archive_index(files, "f")
+    assert rows(index, "folder") == [("a", ["a-0-1.zip", "a-1-1.zip"], "a_neucodec.zip"), ("b", ["b.zip"], None), ("c", [], "c_neucodec.zip")]
+    long = "five words that are long enough to tell a language by"
+    df = spark.createDataFrame([(1, "a/x.mp3", long), (2, "a/x.mp3", "short"), (3, "b/x.mp3", long), (4, "c/x.mp3", long), (5, "none.mp3", long), (6, None, None)], "i int, p string, t string")
+    assert rows(joins.eligible(df, index, "p", "t").select("i")) == [(1,)]
+
+
+def test_token_funnel(spark):
+    data = [(None, "a", 1.0, 9), (100, "a", 2.0, 0), (100, "a", 2.0, None), (10, "a", 0.2, 9), (60, "w " * 61, 1.2, 9), (60, "a", None, 9), (60, "a", 9.0, 9), (60, "a", 1.2, 9)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "i int, n int, t string, s double, b int")
+    steps = filters.token_funnel(F.col("n"), F.col("t"), F.col("s"), audio_bytes=F.col("b"))
+    got = [r["reason"] for r in filters.funnel(df, *steps).orderBy("i").collect()]
+    assert got == ["no_member", "empty_audio", "empty_audio", "token_length", "wordy", "unreadable", "length_mismatch", "kept"]

@@ -29,6 +29,16 @@ def test_archives(spark, tmp_path):
     assert sorted(r["member"] for r in got.collect()) == ["x/1.json", "x/2.json"]
     wanted = spark.createDataFrame([("x/2.json",)], "member string")
     assert [bytes(r["content"]) for r in readers.zip_members(spark, f"{tmp_path}/*.zip", wanted).collect()] == [b"[2]"]
+    asked = spark.createDataFrame([("x/2.json",), ("x/9.json",)], "member string")
+    assert readers.missing_members(asked, readers.zip_members(spark, f"{tmp_path}/*.zip", asked)).first().asDict() == {"wanted": 2, "missing": 1}
+    read = []
+
+    def fetch(archive, offset, size):
+        read.append((offset, size))
+        return readers.read_range(archive, offset, size)
+
+    with zipfile.ZipFile(io.BufferedReader(readers._Ranges(fetch, f"{tmp_path}/a.zip", (tmp_path / "a.zip").stat().st_size), 64)) as z:
+        assert z.namelist() == ["x/1.json", "x/2.json"] and read
     with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as t:
         for name in ("d/k1.txt", "d/k1.wav", "d/k2.txt"):
             info = tarfile.TarInfo(name)
@@ -36,6 +46,36 @@ def test_archives(spark, tmp_path):
             t.addfile(info, io.BytesIO(b"hi"))
     samples = readers.samples_of(readers.tar_members(spark, f"{tmp_path}/*.tar.gz"))
     assert {r["key"]: sorted(r["parts"]) for r in samples.collect()} == {"k1": ["txt", "wav"], "k2": ["txt"]}
+    (tmp_path / "cut.tar.gz").write_bytes((tmp_path / "b.tar.gz").read_bytes()[:40])
+    one = readers.tar_members(spark, f"{tmp_path}/*.tar.gz", spark.createDataFrame([("k2.txt",), ("gone",)], "member string"))
+    assert [(r["member"], bytes(r["content"])) for r in one.collect()] == [("k2.txt", b"hi")]
+    assert readers.tar_members(spark, f"{tmp_path}/b.tar.gz", flat=False).where("member = 'd/k1.wav'").count() == 1
+
+
+def saved_tensor(values, root="x/"):
+    """A saved ``{"codes": IntTensor[1, 1, n]}``, written by hand."""
+    n = len(values)
+    text = lambda s: b"X" + struct.pack("<I", len(s)) + s.encode()
+    number = lambda i: b"J" + struct.pack("<i", i)
+    storage = b"(" + text("storage") + b"ctorch\nIntStorage\n" + text("0") + text("cpu") + number(n) + b"tQ"
+    shape = b"(" + number(1) + number(1) + number(n) + b"t"
+    tensor = b"ctorch._utils\n_rebuild_tensor_v2\n(" + storage + number(0) + shape + b"(" + number(n) + number(n) + number(1) + b"t" + b"\x89" + b"ccollections\nOrderedDict\n)R" + b"tR"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(f"{root}data.pkl", b"\x80\x02}" + text("codes") + tensor + b"s.")
+        z.writestr(f"{root}data/0", struct.pack(f"<{n}i", *values))
+    return out.getvalue()
+
+
+def test_saved_tensors(spark):
+    assert readers.tensor_codes(saved_tensor([5, 6, 70000])) == [5, 6, 70000]
+    bad = io.BytesIO()
+    with zipfile.ZipFile(bad, "w") as z:
+        z.writestr("x/data.pkl", b"cos\nsystem\n(X\x04\x00\x00\x00exittR.")
+    with pytest.raises(ValueError):
+        readers.tensor_codes(bad.getvalue())
+    df = spark.createDataFrame([(1, saved_tensor([1, 2])), (2, b"noise"), (3, None), (4, saved_tensor([]))], "i int, content binary")
+    assert [r["tokens"] for r in readers.tensors(df).orderBy("i").collect()] == [[1, 2], None, None, []]
 
 
 def test_member_ranges(spark, tmp_path):
@@ -68,6 +108,7 @@ def test_audio_headers(spark, tmp_path):
     assert sorted((r["path"][-5:], r["frames"], r["rate"]) for r in df.collect()) == [("a.wav", 8000, 8000), ("b.wav", None, None)]
     done = spark.read.format("binaryFile").load(f"{tmp_path}/a.wav").select("path")
     assert [r["path"][-5:] for r in readers.audio_files(spark, str(tmp_path), done=done).collect()] == ["b.wav"]
+    assert [r["path"][-5:] for r in readers.audio_files(spark, str(tmp_path), limit=1).collect()] == ["a.wav"]
 
 
 def test_json(spark, tmp_path):
@@ -85,6 +126,10 @@ def test_json(spark, tmp_path):
 def test_tables(spark, tmp_path):
     df = spark.range(100).withColumn("name", F.concat(F.lit("n"), (F.col("id") % 4).cast("string")))
     assert [r["row"] for r in readers.indexed(df, "id").orderBy("id").collect()] == list(range(100))
+    holes = spark.createDataFrame([(None,), (3,), (None,), (1,), (3,)], "id int")
+    assert sorted((r["id"] or 0, r["row"]) for r in readers.indexed(holes, "id").collect()) == [(0, 0), (0, 1), (1, 2), (3, 3), (3, 4)]
+    first, total = readers.head(df, 3, "id")
+    assert [r["id"] for r in first.orderBy("id").collect()] == [0, 1, 2] and total.first()["rows"] == 100
     assert readers.matching(df, "name", ["n[01]"]).count() == 50
     assert readers.with_fallbacks(df, {"text": ["nope", "name"], "gone": ["x"]}).first()["text"].startswith("n")
     assert readers.with_fallbacks(df, {}, ("audio",)).count() == 0
@@ -92,6 +137,10 @@ def test_tables(spark, tmp_path):
     assert writers.reshard(df, f"{tmp_path}/s", 30) and not writers.reshard(df, f"{tmp_path}/s", 30)
     assert writers.append_new(df.where("id < 10"), f"{tmp_path}/j", ["id"]) == 10
     assert writers.append_new(df.where("id < 15"), f"{tmp_path}/j", ["id"]) == 5
+    blocks = spark.createDataFrame([([1, 2],), ([1, 2],), ([3],)], "input_ids array<int>")
+    writers.write_blocks(blocks.coalesce(1), f"{tmp_path}/blocks", block=10, most=500)
+    written = spark.read.parquet(f"{tmp_path}/blocks")
+    assert written.select("sha1", "hash").distinct().count() == 2 and written.select("_metadata.file_path").distinct().count() == 2
     writers.write_groups(df, f"{tmp_path}/g", "name")
     assert spark.read.parquet(f"{tmp_path}/g").where("name = 'n1'").count() == 25
     writers.write_ordered(df, f"{tmp_path}/o", {"twice": (1, F.col("id") * 2)}, {"twice": {"note": "x"}})
@@ -116,6 +165,8 @@ def test_addresses():
         return 7
 
     assert readers.retry(fails, sleep=waits.append) == 7 and waits == [30, 60]
+    calls.clear(), waits.clear()
+    assert writers.publish(lambda: None, fails, sleep=waits.append) == 7 and waits == [300, 300]
 
 
 # --- streams ----------------------------------------------------------------------------------------------------------------------------
