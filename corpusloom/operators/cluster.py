@@ -12,33 +12,43 @@ from corpusloom.operators import aggregates, joins, selection
 
 
 def average_linkage(units: np.ndarray, cut: float) -> np.ndarray:
-    """Clusters of unit vectors by average-linkage agglomeration on cosine distance, up to ``cut``; numbered by first member.
+    """Clusters of unit vectors by average-linkage agglomeration on cosine distance, merging what is nearer than ``cut``; numbered by first member.
 
-    Merged distances follow from sizes (Lance and Williams); a pair at the same distance as another is merged by its first members.
+    Chains of nearest neighbours end in pairs that are each other's nearest, which may be merged at once, as an average is never below the nearer of
+    its parts; what has no neighbour nearer than ``cut`` is done. So time and memory go with the square of the members, not the cube. Of neighbours at the
+    same distance the one that the chain came from goes first, then the first member.
     """
     n = len(units)
-    label, size, alive = np.arange(n), np.ones(n), np.ones(n, bool)
-    d = 1.0 - units @ units.T
+    label, size, waiting, chain = np.arange(n), np.ones(n), np.ones(n, bool), []
+    d = units @ units.T
+    d = 1.0 - (d + d.T) / 2  # the same both ways, to the last bit
     np.fill_diagonal(d, np.inf)
-    while n > 1:
-        k = int(np.argmin(d))
-        i, j = divmod(k, len(d))
-        if not d[i, j] < cut:
-            break
-        i, j = min(i, j), max(i, j)
-        d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i, i] = np.inf
-        d[:, i] = d[i]
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-        n -= 1
+    while chain or waiting.any():
+        chain = chain or [int(np.argmax(waiting))]
+        last = chain[-1]
+        near = int(np.argmin(d[last]))
+        if not d[last, near] < cut:  # alone in its chain, or it would be nearer to what leads to it
+            waiting[last], chain = False, []
+            d[last], d[:, last] = np.inf, np.inf
+            continue
+        if len(chain) > 1 and d[last, chain[-2]] <= d[last, near]:
+            i, j = sorted((last, chain[-2]))
+            chain = chain[:-2]
+            d[i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            d[i, i] = np.inf
+            d[:, i] = d[i]
+            d[j], d[:, j] = np.inf, np.inf
+            size[i] += size[j]
+            waiting[j] = False
+            label[label == j] = i
+        else:
+            chain.append(near)
     return np.unique(label, return_inverse=True)[1]
 
 
 def agglomerate(df: DataFrame, groups: list[str], ident: str, vector: str, cut: float = 0.4) -> DataFrame:
-    """(groups, ident, vector, cluster): each group clustered on its own. A group is one person's or place's vectors and fits in a task."""
+    """(groups, ident, vector, cluster): each group clustered on its own. A group is one person's or place's vectors and fits in a task, with the
+    square of their number in memory."""
     kept = [*groups, ident, vector]
     rows = df.select(*kept)
 

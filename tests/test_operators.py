@@ -328,3 +328,25 @@ def test_token_funnel(spark):
     steps = filters.token_funnel(F.col("n"), F.col("t"), F.col("s"), audio_bytes=F.col("b"))
     got = [r["reason"] for r in filters.funnel(df, *steps).orderBy("i").collect()]
     assert got == ["no_member", "empty_audio", "empty_audio", "token_length", "wordy", "unreadable", "length_mismatch", "kept"]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_average_linkage_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 40))
+    u = rng.normal(size=(n, 3))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    if seed % 3 == 0:
+        u = np.repeat(u, 2, axis=0)
+    groups = [[i] for i in range(len(u))]
+    apart = lambda a, b: np.mean([1 - u[i] @ u[j] for i in a for j in b])
+    while len(groups) > 1:
+        a, b = min(itertools.combinations(range(len(groups)), 2), key=lambda p: apart(groups[p[0]], groups[p[1]]))
+        if not apart(groups[a], groups[b]) < 0.4:
+            break
+        groups[a] = sorted(groups[a] + groups.pop(b))
+    got = cluster.average_linkage(u, 0.4)
+    expected = np.zeros(len(u), int)
+    for k, g in enumerate(sorted(groups)):
+        expected[g] = k
+    assert got.tolist() == expected.tolist()

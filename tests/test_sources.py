@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import streaming
+from corpusloom.functions import registry
 from corpusloom.session import reachable
 from corpusloom.sources import readers, writers
 
@@ -150,6 +151,32 @@ def test_tables(spark, tmp_path):
     assert writers.empty(spark, "a int").count() == 0
 
 
+def test_caches_and_concatenation(spark, tmp_path):
+    df, calls = spark.range(10).withColumn("v", F.col("id") * 2), []
+
+    def compute(todo):
+        calls.append(sorted(r["id"] for r in todo.collect()))
+        return todo
+
+    assert writers.cached(df.where("id < 4"), f"{tmp_path}/c", ["id"], compute).count() == 4
+    assert writers.cached(df, f"{tmp_path}/c", ["id"], compute).count() == 10
+    assert calls == [[0, 1, 2, 3], [4, 5, 6, 7, 8, 9]]
+    writers.concatenate(f"{tmp_path}/all", df, df.where("id > 7"))
+    assert spark.read.parquet(f"{tmp_path}/all").count() == 12
+    writers.write_summary(df.agg(F.count("*").alias("n")), f"{tmp_path}/summary")
+    assert spark.read.json(f"{tmp_path}/summary").first()["n"] == 10
+
+
+def test_extension_points(spark):
+    reachable(spark)
+    assert registry.tasks("all") == ("tts", "stt", "mel") and registry.tasks("tts") == ("tts",)
+    longer = registry.model_column(lambda: 5, lambda model, batch: batch + model, "bigint")
+    assert [r[0] for r in spark.range(3).select(longer(F.col("id"))).collect()] == [5, 6, 7]
+    assert spark.createDataFrame([("a b c",), (None,)], "t string").select(registry.word_tokens(F.col("t"), 2)).collect() == [(5,), (2,)]
+    registry.register(spark)
+    assert spark.sql("SELECT dominant_script('abc') AS s, normalize_text('hello  there my friend') AS t").first()["s"] == "LATIN"
+
+
 def test_addresses():
     assert readers.resolve("https://hub.example/datasets/u/d/resolve/v1/a/b.parquet") == ("hub", {"repo": "u/d", "revision": "v1", "path": "a/b.parquet"})
     assert readers.resolve("hf://datasets/u/d/a.parquet")[1]["revision"] == "main"
