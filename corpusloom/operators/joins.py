@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from typing import TYPE_CHECKING
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +14,9 @@ from corpusloom.functions import arrays
 from corpusloom.functions import text as texts
 from corpusloom.operators import filters
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 
 def inner_lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right, on, "inner")
@@ -52,25 +59,128 @@ def hard_negatives(mined: DataFrame, verified: DataFrame, on: list[str]) -> Data
 KEY_ROWS = 2_000
 
 
+#: Rows that are read before whole groups of them are compared; products of a strip of a block, and pairs that are sent on at once.
+GROUP_ROWS, STRIP, SENT_PAIRS = 4_096, 1 << 20, 1 << 18
+#: What a matrix product may be off by; pairs that near below the threshold are computed anew.
+SLACK = 1e-9
+
+
+def _starts(rows: pa.Table, columns: list[str]) -> np.ndarray:
+    """Where groups of equal ``columns`` begin, nulls being equal."""
+    import pyarrow.compute as pc
+
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in columns:
+        codes = pc.dictionary_encode(rows.column(c).combine_chunks(), null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end where a group of equal ``columns`` does."""
+    import pyarrow as pa
+
+    held = []
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) >= GROUP_ROWS:
+            rows = pa.concat_tables(held)
+            last = int(_starts(rows, columns)[-1])
+            if last:
+                yield rows.slice(0, last)
+            held = [rows.slice(last)]
+    if sum(t.num_rows for t in held):
+        yield pa.concat_tables(held)
+
+
+def _near(u: np.ndarray, starts: np.ndarray, part: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of columns of ``u`` within groups whose product is ``least`` at least: of the rows of part ``i`` with those of part ``j``, which come after them, or
+    with each other, once, where the two are one."""
+    for x, y in zip(starts, np.append(starts[1:], len(part)), strict=True):
+        first = x + int(np.count_nonzero(part[x:y] == i[x]))
+        alone = i[x] == j[x]
+        low = x if alone else first
+        step = max(1, STRIP // max(1, y - low))
+        for s in range(x, first, step):
+            e = min(s + step, first)
+            a, b = np.nonzero(u[:, s:e].T @ u[:, low:y] >= least - SLACK)
+            a, b = a + s, b + low
+            if alone:
+                a, b = a[a < b], b[a < b]
+            for k in range(0, len(a), SENT_PAIRS):
+                yield a[k : k + SENT_PAIRS], b[k : k + SENT_PAIRS]
+
+
+def _gathered(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in pieces of ``SENT_PAIRS`` or a little more."""
+    held, n = [], 0
+    for pair in found:
+        held.append(pair)
+        n += len(pair[0])
+        if n >= SENT_PAIRS:
+            yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+            held, n = [], 0
+    if n:
+        yield np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held])
+
+
 def similar_pairs(vectors: DataFrame, keys: list[str], order: str, vector: str, least: float = 0.88, text: str | None = None, least_chars: int = 5) -> DataFrame:
     """(keys, a, b, similarity): pairs within a key whose cosine is ``least`` at least, both ways round; with ``text``, only of different
-    texts of ``least_chars`` characters. Null keys are equal; rows without ``order`` have no partners.
+    texts of ``least_chars`` characters. Null keys are equal; rows without ``order`` have no partners, nor have vectors that are null, zero or hold null or
+    non-finite components, nor those of different lengths.
 
-    A key's rows are compared with each other, upper triangle only; norms are computed once a row. A key of many rows is dealt out: its rows are salted
-    into parts of about ``KEY_ROWS``, and each part meets all rows of the key, so no one task has the whole square.
+    A key's rows are dealt out into parts of about ``KEY_ROWS`` by hash, and each two parts meet in one task, as does each with itself, so no task has the whole square.
+    Parts are compared by matrix products; the cosine of what is near enough, or nearly so, is then summed component by component.
     """
-    rows = vectors if text is None else vectors.where(F.length(text) >= least_chars)
+    rows = vectors.where(F.col(order).isNotNull() & F.col(vector).isNotNull())
+    rows = rows if text is None else rows.where(F.length(text) >= least_chars)
     parts = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.ceil(F.count("*") / KEY_ROWS).cast("int").alias("_parts"))
-    rows = rows.select(*keys, F.col(order).alias("k"), arrays.unit(F.col(vector), 0.0).alias("u"), *([F.col(text).alias("t")] if text else []))
+    rows = rows.select(*keys, F.col(order).alias("_id"), F.col(vector).alias("_v"), *([F.col(text).alias("_t")] if text else []))
     sized = rows.join(parts, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    a = sized.withColumn("_part", F.pmod(F.xxhash64("k"), F.col("_parts")).cast("int")).alias("a")
-    b = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("b")
-    on = (F.col("a._part") == F.col("b._part")) & (F.col("a.k") < F.col("b.k")) & F.expr(" AND ".join(f"a.`{k}` <=> b.`{k}`" for k in keys))
-    if text:
-        on = on & (F.col("a.t") != F.col("b.t"))
-    near = a.join(b, on).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.k").alias("a"), F.col("b.k").alias("b"), arrays.dot(F.col("a.u"), F.col("b.u")).alias("similarity")).where(F.col("similarity") >= least)
+    sized = sized.withColumn("_part", F.pmod(F.xxhash64("_id", "_v"), F.col("_parts")).cast("int")).withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    own = [F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)]
+    dealt = sized.select(*own, F.size("_v").alias("_d"), F.least("_part", "_met").alias("_i"), F.greatest("_part", "_met").alias("_j"), "_part", "_id", "_v", *(["_t"] if text else []))
+    group = [*keys, "_i", "_j"]
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for table in _whole_groups(batches, ["_d", *group]):
+            sizes = _starts(table, ["_d"])
+            for x, y in zip(sizes, np.append(sizes[1:], table.num_rows), strict=True):
+                part = table.slice(x, y - x).combine_chunks()
+                m = part.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+                m = np.ascontiguousarray(m.reshape(y - x, -1).T)
+                with np.errstate(all="ignore"):
+                    norm = np.zeros(y - x)
+                    for c in m:
+                        norm += c * c
+                    fit = (norm > 0) & (norm < np.inf)
+                    part, u = part.filter(pa.array(fit)), m[:, fit] / np.sqrt(norm[fit])
+                if part.num_rows == 0:
+                    continue
+                dealt_as = (part.column(c).to_numpy() for c in ("_part", "_i", "_j"))
+                for a, b in _gathered(_near(u, _starts(part, group), *dealt_as, least)):
+                    s = np.zeros(len(a))
+                    for c in u:
+                        s += c[a] * c[b]
+                    keep = s >= least
+                    if text:
+                        told = part.column("_t")
+                        keep &= pc.not_equal(told.take(pa.array(a)), told.take(pa.array(b))).to_numpy(zero_copy_only=False).astype(bool)
+                    left, right = pa.array(a[keep]), pa.array(b[keep])
+                    made = [*(part.column(k).take(left) for k in keys), part.column("_id").take(left), part.column("_id").take(right), pa.chunked_array([s[keep]])]
+                    yield from pa.table(made, names=[*(f"_k{i}" for i in range(len(keys))), "a", "b", "similarity"]).combine_chunks().to_batches()
+
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    kind = dealt.schema
+    fields = [StructField(f"_k{i}", kind[k].dataType) for i, k in enumerate(keys)] + [StructField(c, kind["_id"].dataType) for c in "ab"]
+    near = dealt.repartition(*group).sortWithinPartitions("_d", *group, "_part").mapInArrow(run, StructType([*fields, StructField("similarity", DoubleType())])).where("a <> b")
     both = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
-    return near.select(*keys, both.alias("p"), "similarity").select(*keys, F.col("p.x").alias("a"), F.col("p.y").alias("b"), "similarity")
+    return near.select(*own, both.alias("p"), "similarity").select(*keys, F.col("p.x").alias("a"), F.col("p.y").alias("b"), "similarity")
 
 
 def archive_index(files: DataFrame, name: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -313,6 +314,32 @@ def test_similar_pairs_of_a_large_key(spark, monkeypatch):
     assert len(got) == len(expected) and set(got) == expected
 
 
+def test_similar_pairs_of_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(joins, "KEY_ROWS", 3)
+    monkeypatch.setattr(joins, "STRIP", 4)
+    monkeypatch.setattr(joins, "SENT_PAIRS", 2)
+    nan, inf = float("nan"), float("inf")
+    odd = [[0.0, 0.0], [nan, 1.0], [inf, 1.0], None, [1.0, None], [], [1.0], [2.0], [3.0, 4.0, 0.0], [1.0, 0.0], [0.6, 0.8], [0.0, 1.0], *[[1.0, 1.0]] * 9]
+    good = [(i, np.array(v) / np.linalg.norm(v)) for i, v in enumerate(odd) if v and None not in v and np.isfinite(v).all() and any(v)]
+    texts = [f"text number {i // 2}" for i in range(len(odd))]
+    df = spark.createDataFrame([("s", i, v, t) for i, (v, t) in enumerate(zip(odd, texts, strict=True))] + [("s", None, [1.0, 1.0], "no number")], "s string, i int, v array<float>, t string")
+    for text in (None, "t"):
+        expected = sorted((a, b) for a, u in good for b, v in good if a != b and len(u) == len(v) and u @ v >= 0.6 - 1e-6 and (text is None or texts[a] != texts[b]))
+        assert rows(joins.similar_pairs(df, ["s"], "i", "v", 0.6 - 1e-6, text).select("a", "b")) == expected
+
+
+def test_similar_pairs_of_many_rows_of_a_key(spark):
+    u = np.random.default_rng(3).normal(size=(12_000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(u.tolist())], "i int, s int, v array<float>")
+    u = u.astype(float) / np.linalg.norm(u.astype(float), axis=1, keepdims=True)
+    a, b = np.nonzero(u @ u.T >= 0.6)
+    began = time.perf_counter()
+    got = {(r["a"], r["b"]): r["similarity"] for r in joins.similar_pairs(df, ["s"], "i", "v", 0.6).collect()}
+    assert time.perf_counter() - began < 60  # 72 million cosines; row by row in expressions they take minutes
+    assert got.keys() == {(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x != y}
+    assert all(abs(s - u[x] @ u[y]) < 1e-12 for (x, y), s in got.items())
+
+
 def test_archives_of_folders(spark):
     files = spark.createDataFrame([("a-0-1.zip",), ("a-1-1.zip",), ("a_neucodec.zip",), ("b.zip",), ("c_neucodec.zip",), ("README.md",), (None,)], "f string")
     index = joins.archive_index(files, "f")
