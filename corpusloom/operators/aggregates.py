@@ -136,6 +136,16 @@ def group_sizes(df: DataFrame, group: str, member: str) -> DataFrame:
     return out.withColumn("upper_middle", F.get("sizes", F.floor(F.size("sizes") / 2).cast("int")))
 
 
+def in_order(df: DataFrame, keys: list[str], order: list[str], **made: Column) -> DataFrame:
+    """(keys, made): aggregates over a key's rows, taken in ``order`` one by one. Sums of doubles go by the order they are added in; so they are the same to the last
+    bit however the rows are dealt out, and keys of equal rows get equal sums, where partial sums that meet as tasks end do not. A key's rows are sorted in one
+    task, which spills; none are gathered."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = df.select(*keys, *[c.over(upto).alias(n) for n, c in made.items()], F.lead(F.lit(1)).over(w).isNull().alias("_last"))
+    return rows.where("_last").drop("_last")
+
+
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, normalise: bool = True) -> DataFrame:
     """(keys, n, center): the mean of (unit) vectors, component by component; summed in each task before the shuffle."""
     v = arrays.unit(F.col(vector)) if normalise else F.col(vector)

@@ -340,6 +340,20 @@ def test_similar_pairs_of_many_rows_of_a_key(spark):
     assert all(abs(s - u[x] @ u[y]) < 1e-12 for (x, y), s in got.items())
 
 
+def test_sums_in_order(spark):
+    rng = np.random.default_rng(5)
+    data = [(int(k), i, float(x) if i % 7 else None) for i, (k, x) in enumerate(zip(rng.integers(0, 5, 900), rng.normal(size=900) * 10.0 ** rng.integers(-8, 8, 900), strict=True))] + [(9, 1000, None), (None, 1001, 1.5)]
+    df = spark.createDataFrame(data, "k int, i int, x double").repartition(13, F.xxhash64("i"))
+    expected = []
+    for k in [None, *range(5), 9]:
+        values = [x for j, _, x in data if j == k and x is not None]
+        s = 0.0
+        for x in values:
+            s += x
+        expected.append((k, s if values else None, s / len(values) if values else None))
+    assert rows(aggregates.in_order(df, ["k"], ["i"], s=F.sum("x"), m=F.avg("x")), "k") == expected
+
+
 def test_archives_of_folders(spark):
     files = spark.createDataFrame([("a-0-1.zip",), ("a-1-1.zip",), ("a_neucodec.zip",), ("b.zip",), ("c_neucodec.zip",), ("README.md",), (None,)], "f string")
     index = joins.archive_index(files, "f")

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.plans import ORACLE_SQL, QUERIES
 
@@ -33,6 +34,18 @@ def test_query(spark, duck, name):
         assert sorted_rows(df.columns, rows) == sorted_rows(told.columns, told.fetchall())
 
 
+def test_leaderboard_however_rows_are_dealt_out(spark, tmp_path):
+    """Customers of the same orders have the same sum, to the last bit, and go by their keys."""
+    copies = spark.range(6).withColumnRenamed("id", "c")
+    orders = spark.read.parquet(f"{DATA}/orders.parquet").crossJoin(copies).withColumns({"o_orderkey": F.expr("o_orderkey + c * 1000000"), "o_custkey": F.expr("o_custkey + c * 1000000")}).drop("c")
+    orders.repartition(16, F.xxhash64("o_orderkey", "o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"CREATE TABLE orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet' ORDER BY o_orderkey")
+    df = QUERIES["leaderboard"](spark, str(tmp_path))
+    told = con.sql(ORACLE_SQL["leaderboard"])
+    assert sorted_rows(df.columns, [tuple(r) for r in df.collect()]) == sorted_rows(told.columns, told.fetchall())
+
+
 def test_queries_without_sql():
     assert set(QUERIES) - set(ORACLE_SQL) == {"normalize_text", "topk_dedup_speaker_cap", "cluster_constrained", "cer_adjacent_turns", "loose_marks"}
 
